@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact, language, media, mixing, near, packing, quality, tokens
+from . import chat, exact, language, media, mixing, near, packing, quality, substring, tokens
 
 QUERIES = {
     "op1_media": media.op1_media,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_exact": exact.op4_exact,
     "op5_language": language.op5_language,
     "op6_minhash": near.op6_minhash,
+    "op7_substring": substring.op7_substring,
     "op8_mixing": mixing.op8_mixing,
     "op9_tokens": tokens.op9_tokens,
     "op10_chat": chat.op10_chat,
