@@ -11,23 +11,30 @@ from .common import stored
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(v, component), the smallest vertex that is reachable, from edges (a, b); no vertex may be null.
 
-    Each round takes the least label around each vertex, hooks the vertex' own root to it and then shortens paths (a
-    vertex takes the label of its label). Minima merge within tasks before they move, so a vertex of very many edges
-    is no hot key there. Rounds grow with the logarithm of a component's width; it fails rather than stop early.
+    In each round every vertex hooks on its least neighbour, paths are halved until they end at a root, and the
+    graph shrinks to its roots; edges within a tree go. At least half of the vertices go in each round. Minima merge
+    within tasks before they move, so a vertex of very many edges is no hot key there. It fails rather than stop early.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).filter("a <> b").distinct()
-    both = stored(both, "edges")
-    labels = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("l")).select(F.col("a").alias("v"), "l"), "labels")
+    left = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).filter("a <> b").distinct()
+    left, found = stored(left, "edges"), None
     for _ in range(rounds):
-        near = both.join(labels, both["b"] == labels["v"]).groupBy("a").agg(F.min("l").alias("n"))
-        found = labels.join(near, F.col("v") == F.col("a")).select("v", "l", F.least("l", "n").alias("n"))
-        hooks = found.filter("n < l").groupBy("l").agg(F.min("n").alias("h")).select(F.col("l").alias("r"), "h")
-        lower = found.join(hooks, F.col("v") == F.col("r"), "left").select("v", "l", F.least("n", F.coalesce("h", "n")).alias("n"))
-        lower = stored(lower, "lower")
-        root = lower.select(F.col("v").alias("p"), F.col("n").alias("pn"))
-        after = lower.join(root, F.col("n") == F.col("p"), "left").select("v", F.least("n", F.coalesce("pn", "n")).alias("n"), F.col("l").alias("was"))
-        after = stored(after, "labels")
-        labels = after.select("v", F.col("n").alias("l"))
-        if after.filter("n <> was").isEmpty():
-            return labels.select("v", F.col("l").alias("component"))
+        up = stored(left.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("n")).select(F.col("a").alias("v"), "n"), "hooks")
+        while True:
+            above = up.select(F.col("v").alias("p"), F.col("n").alias("pn"))
+            above = up.join(above, F.col("n") == F.col("p"))
+            up = stored(above.select("v", F.col("pn").alias("n"), (F.col("pn") != F.col("n")).alias("moved")), "paths")
+            if up.filter("moved").isEmpty():
+                break
+            up = up.select("v", "n")
+        up = up.select("v", "n")
+        if found is None:
+            found = up.select("v", F.col("n").alias("component"))
+        else:
+            moved = up.select(F.col("v").alias("p"), "n")
+            found = stored(found.join(moved, F.col("component") == F.col("p"), "left").select("v", F.coalesce("n", "component").alias("component")), "found")
+        a, b = up.select(F.col("v").alias("va"), F.col("n").alias("na")), up.select(F.col("v").alias("vb"), F.col("n").alias("nb"))
+        left = left.join(a, F.col("a") == F.col("va")).join(b, F.col("b") == F.col("vb")).filter("na <> nb").select(F.col("na").alias("a"), F.col("nb").alias("b")).distinct()
+        left = stored(left, "edges")
+        if left.isEmpty():
+            return found
     raise RuntimeError(f"no end after {rounds} rounds")

@@ -110,13 +110,14 @@ def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((x & 15) == 0).sum(-1) + ((x & 240) == 0).sum(-1)
 
 
-_NODE = [T.StructField("node", T.LongType()), T.StructField("rep", T.LongType()), T.StructField("sketch", T.BinaryType())]
+#: hung: the pivot further up on which the set hangs, or -1; sets that hang on the same are joined already.
+_NODE = [T.StructField("node", T.LongType()), T.StructField("rep", T.LongType()), T.StructField("sketch", T.BinaryType()), T.StructField("hung", T.LongType())]
 
 
-def _rows(reps: pa.Array, tokens: np.ndarray, nodes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+def _rows(reps: pa.Array, tokens: np.ndarray, nodes: list[np.ndarray], hung: pa.Array) -> Iterator[pa.RecordBatch]:
     s = pa.array([r.tobytes() for r in sketch(tokens)], pa.binary())
     for node in nodes:
-        yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), reps, s], ["node", "rep", "sketch"])
+        yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), reps, s, hung], [f.name for f in _NODE])
 
 
 def planted(reps: DataFrame, trees: int) -> DataFrame:
@@ -131,7 +132,7 @@ def planted(reps: DataFrame, trees: int) -> DataFrame:
                 for level in range(LEVELS):
                     node = mix64(node * np.uint64(0x9E3779B97F4A7C15) + t[:, (LEVELS * k + level) % TOKENS].astype(np.uint64))
                 nodes.append(node)
-            yield from _rows(b.column(0), t, nodes)
+            yield from _rows(b.column(0), t, nodes, pa.array(np.full(len(t), -1)))
 
     return map_batches(reps.select("rep", "tokens"), run, _NODE)
 
@@ -148,9 +149,9 @@ def branched(rows: DataFrame, reps: DataFrame) -> DataFrame:
                 pick = (mix64(node + np.uint64(k + 1)) % np.uint64(TOKENS)).astype(np.int64)
                 token = t[np.arange(len(t)), pick].astype(np.uint64) + (pick.astype(np.uint64) << np.uint64(32))
                 children.append(mix64(node * np.uint64(0x9E3779B97F4A7C15) + token))
-            yield from _rows(b.column(1), t, children)
+            yield from _rows(b.column(1), t, children, b.column(3))
 
-    return map_batches(rows.join(reps, "rep").select("node", "rep", "tokens"), run, _NODE)
+    return map_batches(rows.join(reps, "rep").select("node", "rep", "tokens", "hung"), run, _NODE)
 
 
 _EDGE = [T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]
@@ -180,14 +181,20 @@ class Sets:
 def compared(rows: DataFrame) -> DataFrame:
     """Edges that join what passes the sketches in each of the small nodes."""
 
-    def edges(rep: np.ndarray, s: np.ndarray) -> list[tuple[int, int]]:
+    def edges(rep: np.ndarray, s: np.ndarray, hung: np.ndarray) -> list[tuple[int, int]]:
+        if hung[0] >= 0 and (hung == hung[0]).all():
+            return []
         x = s[:, None, :] ^ s[None, :, :]
         near = np.argwhere(np.triu(((x & 15) == 0).sum(2) + ((x & 240) == 0).sum(2) >= NEAR, 1))
         own = Sets(len(rep))
+        first: dict[int, int] = {}
+        for i, h in enumerate(hung.tolist()):
+            if h >= 0:
+                own.join(first.setdefault(h, i), i)
         return [(rep[i], rep[j]) for i, j in near.tolist() if own.join(i, j)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, rep, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, TOKENS // 2), np.uint8)
+        node, rep, s, hung = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, TOKENS // 2), np.uint8), np.zeros(0, np.int64)
         seen: set[tuple[int, int]] = set()
 
         def done(n: int) -> Iterator[pa.RecordBatch]:
@@ -195,10 +202,10 @@ def compared(rows: DataFrame) -> DataFrame:
             first, last = np.concatenate([[0], edge]), np.concatenate([edge, [n]])
             size = last - first
             two = first[size == 2]
-            two = two[alike(s[two], s[two + 1]) >= NEAR]
+            two = two[(alike(s[two], s[two + 1]) >= NEAR) & ((hung[two] < 0) | (hung[two] != hung[two + 1]))]
             out = list(zip(rep[two].tolist(), rep[two + 1].tolist(), strict=True))
             for a, z in zip(first[size > 2].tolist(), last[size > 2].tolist(), strict=True):
-                out += edges(rep[a:z].tolist(), s[a:z])
+                out += edges(rep[a:z].tolist(), s[a:z], hung[a:z])
             new = {(min(e), max(e)) for e in out} - seen
             if len(seen) > 200_000:
                 seen.clear()
@@ -210,15 +217,16 @@ def compared(rows: DataFrame) -> DataFrame:
             node = np.concatenate([node, b.column(0).to_numpy(zero_copy_only=False)])
             rep = np.concatenate([rep, b.column(1).to_numpy(zero_copy_only=False)])
             s = np.concatenate([s, _matrix(b.column(2), TOKENS // 2, np.uint8)])
+            hung = np.concatenate([hung, b.column(3).to_numpy(zero_copy_only=False)])
             if len(node):
                 n = int(np.searchsorted(node, node[-1]))  # the last node may go on in the next batch
                 if n:
                     yield from done(n)
-                    node, rep, s = node[n:], rep[n:], s[n:]
+                    node, rep, s, hung = node[n:], rep[n:], s[n:], hung[n:]
         if len(node):
             yield from done(len(node))
 
-    return map_batches(rows.repartition("node").sortWithinPartitions("node").select("node", "rep", "sketch"), run, _EDGE)
+    return map_batches(rows.repartition("node").sortWithinPartitions("node").select("node", "rep", "sketch", "hung"), run, _EDGE)
 
 
 def candidates(reps: DataFrame, trees: int) -> DataFrame:
@@ -233,19 +241,19 @@ def candidates(reps: DataFrame, trees: int) -> DataFrame:
         if not some:
             break
         rows = rows.join(small(large), "node", "left_semi")
-        pivot = rows.groupBy("node").agg(F.min(F.struct(F.xxhash64("rep", "node").alias("h"), "rep", "sketch")).alias("p"))
-        pivot = stored(pivot.select("node", F.col("p.rep").alias("pivot"), F.col("p.sketch").alias("ps")), "pivots")
-        fields = [*_NODE[:2], T.StructField("pivot", T.LongType()), T.StructField("alike", T.IntegerType())]
+        pivot = rows.groupBy("node").agg(F.min(F.struct(F.xxhash64("rep", "node").alias("h"), "rep", "sketch", "hung")).alias("p"))
+        pivot = stored(pivot.select("node", F.col("p.rep").alias("pivot"), F.col("p.sketch").alias("ps"), F.when(F.col("p.hung") < 0, F.col("p.rep")).otherwise(F.col("p.hung")).alias("ph")), "pivots")
+        fields = [*_NODE[:2], T.StructField("pivot", T.LongType()), T.StructField("alike", T.IntegerType()), _NODE[3], T.StructField("ph", T.LongType())]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 n = alike(_matrix(b.column(2), TOKENS // 2, np.uint8), _matrix(b.column(4), TOKENS // 2, np.uint8))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(n, pa.int32())], ["node", "rep", "pivot", "alike"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(n, pa.int32()), b.column(5), b.column(6)], [f.name for f in fields])
 
-        held = stored(map_batches(rows.join(small(pivot), "node").select("node", "rep", "sketch", "pivot", "ps"), run, fields), "held")
-        out.append(held.filter((F.col("alike") >= FAR) & (F.col("rep") != F.col("pivot"))).select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
+        held = stored(map_batches(rows.join(small(pivot), "node").select("node", "rep", "sketch", "pivot", "ps", "hung", "ph"), run, fields), "held")
+        out.append(held.filter((F.col("alike") >= FAR) & (F.col("rep") != F.col("pivot")) & (F.col("hung") != F.col("ph"))).select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
         if level < DEEPEST:
-            rows = stored(branched(held.filter(F.col("alike") < NEAR).select("node", "rep"), reps), "branched")
+            rows = stored(branched(held.filter(F.col("alike") < NEAR).select("node", "rep", F.when((F.col("hung") < 0) & (F.col("alike") >= FAR), F.col("ph")).otherwise(F.col("hung")).alias("hung")), reps), "branched")
         else:  # too deep to branch: such sets stay with their pivot, and the exact comparison tells them apart
             out.append(held.filter(F.col("rep") != F.col("pivot")).select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
     edges = out[0]
