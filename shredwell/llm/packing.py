@@ -128,23 +128,47 @@ def pieces(df: DataFrame, text: str = "text", path: str | None = None, most: int
 # ---- the program
 
 
-def price(values: np.ndarray, lengths: np.ndarray, most: int) -> np.ndarray:
-    """How often each length is in the most valuable configuration without waste (knapsack by capacity), or the fullest there is."""
-    best, took = np.full(most + 1, -np.inf), np.full(most + 1, -1)
+def price(values: np.ndarray, lengths: np.ndarray, most: int, waste: bool = False) -> np.ndarray:
+    """How often each length is in the most valuable configuration (knapsack by capacity), among those without waste unless it is allowed; the fullest there is if none is without."""
+    best, took = np.full(most + 1, 0.0 if waste else -np.inf), np.full(most + 1, -1)
     best[0] = 0.0
     upto = np.searchsorted(lengths, np.arange(most + 1), "right")
     for c in range(int(lengths[0]), most + 1):
         n = upto[c]
         v = values[:n] + best[c - lengths[:n]]
         k = int(v.argmax())
-        best[c], took[c] = v[k], k
+        if waste and v[k] <= best[c - 1]:
+            best[c] = best[c - 1]
+        else:
+            best[c], took[c] = v[k], k
     out, c = np.zeros(len(lengths), np.int64), int(np.flatnonzero(best > -np.inf)[-1])
     while c > 0:
+        if took[c] < 0:
+            c -= 1
+            continue
         out[took[c]] += 1
         c -= int(lengths[took[c]])
     return out
 
 
+def cover(histogram: dict[int, int], most: int = MOST, epsilon: float = 0.3, rounds: int = 400) -> list[tuple[np.ndarray, float]]:
+    """The covering program by the textbook: the best configuration, waste allowed, as far as its scarcest length goes;
+    values shrink with what is covered. Scaled so that nine tenths of the lengths are covered no more than once."""
+    lengths = np.array(sorted(histogram), np.int64)
+    counts = np.array([histogram[k] for k in lengths], float)
+    value, covered = lengths / most, np.zeros(len(lengths))
+    configs: dict[bytes, list] = {}
+    for _ in range(rounds):
+        x = price(value, lengths, most, waste=True)
+        used = x > 0
+        n = (counts[used] / x[used]).min()
+        configs.setdefault(x.tobytes(), [x, 0.0])[1] += n
+        covered += x * n / counts
+        value = value * np.exp(-epsilon * x * n / counts)
+    scale = 1 / max(np.quantile(covered, 0.9), 1e-9)
+    return [(x, n * scale) for x, n in configs.values()]
+
+
 def solve(histogram: dict[int, int], most: int = MOST, epsilon: float = 0.5, step: float = 0.5, rounds: int = 500, part: float = 0.7, tilt: float = 1.1) -> list[tuple[np.ndarray, float]]:
     """A fractional packing of most of the histogram into configurations: (how often each length, weight), lengths ascending.
 
@@ -189,10 +213,14 @@ def plan(histogram: dict[int, int], most: int = MOST) -> list[tuple[list[tuple[i
         out.append(([(most, 1)], full))
     if not histogram:
         return out
-    lengths = sorted(histogram)
-    left = np.array([histogram[k] for k in lengths], np.int64)
-    found = solve(histogram, most)
-    size = np.array(lengths)
+    # many different lengths fill sequences without waste, few can't: the better of both ways to run the program stays
+    return out + min((rounded(histogram, f(histogram, most), most) for f in (solve, cover)), key=lambda p: sum(n for _, n in p))
+
+
+def rounded(histogram: dict[int, int], found: list[tuple[np.ndarray, float]], most: int) -> list[tuple[list[tuple[int, int]], int]]:
+    """Whole sequences of the fractional solution, and best fit for what is left over."""
+    lengths, out = sorted(histogram), []
+    size, left = np.array(lengths), np.array([histogram[k] for k in lengths], np.int64)
     for a, x in sorted(found, key=lambda c: (-int(c[0] @ size), c[0].tobytes())):
         used = a > 0
         n = min(int(x), int((left[used] // a[used]).min()))
