@@ -19,4 +19,5 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op4_exact": exact.ORACLE_OP4,
+    "op10_chat": chat.ORACLE_OP10,
 }
