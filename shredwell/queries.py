@@ -8,6 +8,7 @@ import tempfile
 from collections.abc import Callable
 from dataclasses import replace
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,9 +43,20 @@ def records(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return R.from_strings(frames(spark, sf_dir, sql), "t", "doc_id")
 
 
+_kept: list[DataFrame] = []
+
+
+def kept(r: DataFrame) -> DataFrame:
+    """The records, parsed once for inference and load; those of the query before are let go."""
+    while _kept:
+        _kept.pop().unpersist()
+    _kept.append(r.persist(StorageLevel.MEMORY_AND_DISK))
+    return r
+
+
 def query(name: str, sql: str, root: str, select: Callable[[engine.Load], DataFrame], oracle: str | None, change: Callable[[C.Catalog], C.Catalog] | None = None, **options) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        r = records(spark, sf_dir, sql)
+        r = kept(records(spark, sf_dir, sql))
         c = engine.infer(r, replace(Options(root=root), **options))
         return select(engine.load(r, change(c) if change else c))
 

@@ -139,8 +139,8 @@ def test_keyed_pivot(spark):
     arr = [{"g": {f"gcf_{k}": [{"s": 1, "t": 2}, {"s": 3, "t": 4}] for k in "abc"}}]
     l = loaded(spark, arr)
     assert rows(l, "root_g", "key", "j2s_order", "s")[:2] == [("gcf_a", 0, 1), ("gcf_a", 1, 3)]
-    pure = [{"g": {f"k{k}": {"in": {"c": True}} for k in "abc"}}]
-    assert rows(loaded(spark, pure), "root_g", "key", "j2s_data")[0] == ("ka", '{"in":{"c":true}}')
+    pure = [{"g": {f"key_{k}": {"in": {"c": True}} for k in "abc"}}]
+    assert rows(loaded(spark, pure), "root_g", "key", "j2s_data")[0] == ("key_a", '{"in":{"c":true}}')
 
 
 def test_multi_keyed_pivot(spark):
