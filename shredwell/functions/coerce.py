@@ -23,9 +23,9 @@ def _result(value: Column, bad: Column) -> Column:
     return F.struct(value.alias("value"), bad.alias("bad"))
 
 
-def coerce(v: Column, p: Phys, jsonb: bool = False) -> Column:
-    """struct(value, bad): bad is NULL for values that fit, JSON nulls and missing values."""
-    raw = raw_tag(v)
+def coerce(v: Column, p: Phys, raw: Column | None = None) -> Column:
+    """struct(value, bad): bad is NULL for values that fit, JSON nulls and missing values. raw: raw_tag(v), if it is at hand."""
+    raw = raw_tag(v) if raw is None else raw
     none = raw.isNull() | (raw == "null")
     kind = _kind(raw)
     s = F.try_variant_get(v, "$", "string")

@@ -80,21 +80,28 @@ class Shredder:
             self._rows[t.name] = LAYOUTS[t.layout](self, t)
         return self._rows[t.name]
 
-    def typed(self, df: DataFrame, t: C.Table, value_of: Callable[[C.Column], Column | None]) -> DataFrame:
-        """df has id, parent and ord; value_of gives a column's VARIANT, or None where the column isn't coerced."""
-        out = []
-        for c in t.columns:
-            if c.role in ("id", "parent", "order"):
-                name = {"id": "id", "parent": "parent", "order": "ord"}[c.role]
-                out.append(F.col(name).alias(c.name))
-                continue
-            v = value_of(c)
-            if isinstance(v, tuple):  # a value that is there already
-                out.append(F.struct(v[0].alias("value"), F.lit(None).cast("string").alias("bad"), F.lit(None).cast("string").alias("raw")).alias(c.name))
-                continue
-            s = coerce(v, c.type)
-            text = F.when(s["bad"].isNotNull(), F.coalesce(F.when(raw_tag(v) == "string", F.try_variant_get(v, "$", "string")), F.to_json(v)))
-            out.append(F.struct(s["value"].alias("value"), s["bad"].alias("bad"), text.alias("raw")).alias(c.name))
+    def typed(self, df: DataFrame, t: C.Table, value_of: Callable[[C.Column], Column | tuple[Column]]) -> DataFrame:
+        """df has id, parent and ord; value_of gives a column's VARIANT, or a tuple of one value that is there already.
+
+        Values come first, then their tags, then what uses both several times: Spark keeps such steps apart, so no
+        value is looked up twice.
+        """
+        generated = {"id": "id", "parent": "parent", "order": "ord"}
+        values = {i: value_of(c) for i, c in enumerate(t.columns) if c.role not in generated}
+        ready = {i for i, v in values.items() if isinstance(v, tuple)}
+        df = df.select("id", "parent", "ord", *[(v[0] if i in ready else v).alias(f"_v{i}") for i, v in values.items()])
+        df = df.select("*", *[raw_tag(F.col(f"_v{i}")).alias(f"_r{i}") for i in values if i not in ready])
+        out, none = [], F.lit(None).cast("string")
+        for i, c in enumerate(t.columns):
+            if c.role in generated:
+                out.append(F.col(generated[c.role]).alias(c.name))
+            elif i in ready:
+                out.append(F.struct(F.col(f"_v{i}").alias("value"), none.alias("bad"), none.alias("raw")).alias(c.name))
+            else:
+                v, raw = F.col(f"_v{i}"), F.col(f"_r{i}")
+                s = coerce(v, c.type, raw)
+                text = F.when(s["bad"].isNotNull(), F.when(raw == "string", F.try_variant_get(v, "$", "string")).otherwise(F.to_json(v)))
+                out.append(F.struct(s["value"].alias("value"), s["bad"].alias("bad"), text.alias("raw")).alias(c.name))
         return df.select(*out)
 
     def data(self, t: C.Table | str) -> DataFrame:
