@@ -2,11 +2,12 @@
 
 Any window of `window` words contains 11 runs of window-10 words; the one with the least hash is the window's anchor.
 Equal windows have equal anchors, and neighbouring windows mostly share theirs; the stretch of text that windows with
-one anchor cover is the unit here. First, anchors are counted (a hash for each stretch, merged within tasks) and those
-seen twice set bits of a filter of bounded size. Then stretches whose anchor is in the filter are keyed by anchor and by
-a hash of the whole stretch. Of equal stretches the earliest stays and the windows of all others go. The earliest ones
-still overlap where repeated passages begin and end at different places: windows of stretches that share an anchor but
-are not equal are compared one by one, the earliest again staying. All of that is grouping by minimum, which merges
+one anchor cover is the unit here. First, anchors are counted (five bytes for each stretch, in blobs by their leading
+bits) and those seen twice set bits of a filter of bounded size. Then stretches whose anchor is in the filter are keyed
+by anchor and by a hash of the whole stretch. Of equal stretches the earliest stays and the windows of all others go. The
+earliest ones still overlap where repeated passages begin and end at different places: anchors of several different
+stretches get a filter of their own, and the windows of these stretches are compared one by one, the earliest again
+staying. All of that is grouping by minimum, which merges
 within tasks, and joins on thin rows; no task holds all places of a common passage. Last, the spans are joined to the
 texts. The filter's false alarms cost work, never a wrong result. Keys are pairs of 64-bit hashes.
 
@@ -27,11 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, gram_hashes, map_batches, mix64, stored, table, text_bytes, text_of, without, word_hashes, word_spans
+from .common import chunks, gram_hashes, in_bounds, map_batches, mix64, stored, table, text_bytes, text_of, without, word_hashes, word_spans
 
 WINDOW = 20
 RUNS = 11
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 #: Bits of the filter, at most: 32 MB go to each executor, however many anchors there are.
 FILTER_BITS = 1 << 28
 
@@ -85,17 +86,54 @@ class Stretches:
         return mix64((self.sums[first + length] - self.sums[first]) * self.back[first] + np.asarray(length).astype(np.uint64))
 
 
-def anchors(df: DataFrame, window: int, text: str) -> DataFrame:
-    """The anchor of each stretch of each text."""
+#: Leading bits of an anchor name its blob; five bytes more are counted.
+BLOB_BITS, KEPT_BITS = 12, 52
+HELD = 2_000_000
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _blobs(anchors: np.ndarray) -> pa.RecordBatch:
+    """Blobs of the anchors by their leading bits; what is there often is there twice."""
+    a = np.sort(anchors >> np.uint64(64 - KEPT_BITS))
+    a = np.concatenate([a[:-2][a[2:] != a[:-2]], a[-2:]]) if len(a) > 2 else a
+    bucket = (a >> np.uint64(KEPT_BITS - BLOB_BITS)).astype(np.int32)
+    low = a.view(np.uint8).reshape(-1, 8)[:, :5].copy()
+    first = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1]) if len(a) else np.zeros(0, np.int64)
+    offsets = np.append(first, len(a)).astype(np.int32) * 5
+    blobs = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(low.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(bucket[first]), blobs], ["bucket", "blob"])
+
+
+def repeated_anchors(df: DataFrame, window: int, text: str) -> DataFrame:
+    """The leading bits of anchors that occur more than once, in the place they have in the anchor."""
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
         for b in batches:
             raw, at = text_bytes(b.column(0))
             for i, j in chunks(at, CHUNK):
-                s = Stretches(raw[at[i] : at[j]], at[i : j + 1] - at[i], window)
-                yield pa.RecordBatch.from_arrays([pa.array(s.anchor.view(np.int64))], ["anchor"])
+                held.append(Stretches(raw[at[i] : at[j]], at[i : j + 1] - at[i], window).anchor)
+                if sum(map(len, held)) > HELD:
+                    yield _blobs(np.concatenate(held))
+                    held = []
+        if held:
+            yield _blobs(np.concatenate(held))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = []
+        for b in batches:
+            raw, at = text_bytes(b.column(1))
+            n = len(raw) // 5
+            a = np.zeros((n, 8), np.uint8)
+            a[:, :5] = raw.reshape(n, 5)
+            bucket = np.repeat(b.column(0).to_numpy(zero_copy_only=False).astype(np.uint64), np.diff(at) // 5)
+            parts.append(a.reshape(-1).view(np.uint64) | bucket << np.uint64(KEPT_BITS - BLOB_BITS))
+        if parts:
+            a = np.sort(np.concatenate(parts))
+            a = np.unique(a[1:][a[1:] == a[:-1]]) << np.uint64(64 - KEPT_BITS)
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64))], ["anchor"])
 
-    return map_batches(df.select(text_of(text).alias("text")), run, [T.StructField("anchor", T.LongType())])
+    blobs = map_batches(df.select(text_of(text).alias("text")), collect, [T.StructField("bucket", T.IntegerType()), T.StructField("blob", T.BinaryType())])
+    return map_batches(blobs.repartition("bucket"), count, [T.StructField("anchor", T.LongType())])
 
 
 def filter_of(repeated: DataFrame, most: int = FILTER_BITS) -> np.ndarray:
@@ -123,63 +161,80 @@ def in_filter(bits: np.ndarray, anchor: np.ndarray) -> np.ndarray:
     return (bits[q >> 3] >> (q & 7).astype(np.uint8) & 1).astype(bool) | (p == 0)
 
 
-_STRETCH = [T.StructField(n, T.LongType()) for n in ("anchor", "whole", "doc_id", "start")] + [T.StructField("windows", T.BinaryType())]
+_STRETCH = [T.StructField(n, T.LongType()) for n in ("anchor", "whole", "doc_id")] + [T.StructField("start", T.IntegerType()), T.StructField("n", T.IntegerType())]
+_WINDOW = [T.StructField(n, T.LongType()) for n in ("anchor", "win", "doc_id")] + [T.StructField("start", T.IntegerType())]
 
 
-def stretches(df: DataFrame, bits, window: int, text: str) -> DataFrame:
-    """Stretches whose anchor is in the filter, with the hashes of their windows."""
+def place_keys(whole: np.ndarray, doc_id: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """A hash of a stretch and where it is."""
+    return mix64(whole ^ mix64(doc_id.astype(np.int64).view(np.uint64) * np.uint64(_BASE) + start.astype(np.int64).view(np.uint64)))
+
 
+def keyed(firsts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            raw, at = text_bytes(b.column(1))
-            for i, j in chunks(at, CHUNK):
-                s = Stretches(raw[at[i] : at[j]], at[i : j + 1] - at[i], window)
-                k = np.flatnonzero(in_filter(bits.value, s.anchor))
-                if not len(k):
-                    continue
-                n = s.count[k]
-                ends = np.cumsum(n)
-                each = np.repeat(s.first[k] - (ends - n), n) + np.arange(int(ends[-1]))
-                offsets = np.concatenate([[0], ends * 8]).astype(np.int32)
-                windows = pa.Array.from_buffers(pa.binary(), len(k), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(s.hashes(each, window).tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(s.anchor[k].view(np.int64)), pa.array(s.hashes(s.first[k], n + window - 1).view(np.int64)), pa.array(ids[i + s.text[k]]), pa.array(s.start[k]), windows], [f.name for f in _STRETCH])
+            whole, doc, start = (b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
+            yield pa.RecordBatch.from_arrays([pa.array(place_keys(whole.view(np.uint64), doc, start).view(np.int64))], ["anchor"])
+
+    return map_batches(firsts.select("whole", "first_doc", "first_start"), run, [T.StructField("anchor", T.LongType())])
+
+
+def stretches(df: DataFrame, bits, window: int, text: str) -> DataFrame:
+    """Stretches whose anchor is in the filter."""
+
+    def rows(s: Stretches, ids: np.ndarray) -> list[np.ndarray]:
+        k = np.flatnonzero(in_filter(bits.value, s.anchor))
+        n = s.count[k]
+        return [s.anchor[k].view(np.int64), s.hashes(s.first[k], n + window - 1).view(np.int64), ids[k], s.start[k].astype(np.int32), n.astype(np.int32)]
+
+    return scanned(df, window, text, rows, _STRETCH)
 
-    return map_batches(df.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_of(text).alias("text")), run, _STRETCH)
 
+def windows_at(df: DataFrame, bits, window: int, text: str) -> DataFrame:
+    """The windows of the stretches whose places are in the filter. A false alarm adds windows that are there, and so changes nothing."""
 
-def opened(rows: DataFrame) -> DataFrame:
-    """A row for each window: anchor, win, doc_id, start."""
+    def rows(s: Stretches, ids: np.ndarray) -> list[np.ndarray]:
+        whole = s.hashes(s.first, s.count + window - 1)
+        k = np.flatnonzero(in_filter(bits.value, place_keys(whole, ids, s.start)))
+        n = s.count[k]
+        each = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        win = s.hashes(np.repeat(s.first[k], n) + each, window)
+        return [np.repeat(s.anchor[k], n).view(np.int64), win.view(np.int64), np.repeat(ids[k], n), (np.repeat(s.start[k], n) + each).astype(np.int32)]
 
+    return scanned(df, window, text, rows, _WINDOW)
+
+
+def scanned(df: DataFrame, window: int, text: str, rows, fields: list[T.StructField]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw, at = text_bytes(b.column(3))
-            n = np.diff(at) // 8
-            start = np.repeat(b.column(2).to_numpy(zero_copy_only=False) - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            take = pa.array(np.repeat(np.arange(b.num_rows), n))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), pa.array(raw.view(np.int64)), b.column(1).take(take), pa.array(start)], ["anchor", "win", "doc_id", "start"])
+            ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            raw, at = text_bytes(b.column(1))
+            for i, j in chunks(at, CHUNK):
+                s = Stretches(raw[at[i] : at[j]], at[i : j + 1] - at[i], window)
+                if len(s.anchor):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows(s, ids[i + s.text])], [f.name for f in fields])
 
-    return map_batches(rows.select("anchor", "doc_id", "start", "windows"), run, [T.StructField(n, T.LongType()) for n in ("anchor", "win", "doc_id", "start")])
+    return map_batches(df.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_of(text).alias("text")), run, fields)
 
 
 def spans(df: DataFrame, window: int = WINDOW, text: str = "text") -> DataFrame:
     """doc_id, start, count: windows that also start earlier, as runs of neighbouring starts."""
-    spark = df.sparkSession
-    repeated = stored(anchors(df, window, text).groupBy("anchor").count().filter("count > 1").select("anchor"), "anchors")
-    bits = spark.sparkContext.broadcast(filter_of(repeated))
-    rows = stored(stretches(df, bits, window, text), "stretches")
+    sc = df.sparkSession.sparkContext
+    repeated = stored(repeated_anchors(df, window, text), "anchors")
+    rows = stored(stretches(df, sc.broadcast(filter_of(repeated)), window, text), "stretches")
     place = F.struct("doc_id", "start")
-    firsts = rows.groupBy("anchor", "whole").agg(F.min(place).alias("place"), F.count("*").alias("n"), F.min("windows").alias("windows"))
-    firsts = stored(firsts.select("anchor", "whole", F.col("place.doc_id").alias("first_doc"), F.col("place.start").alias("first_start"), "n", "windows"), "firsts")
+    firsts = rows.groupBy("anchor", "whole").agg(F.min(place).alias("p"), F.count("*").alias("times"))
+    firsts = stored(firsts.select("anchor", "whole", F.col("p.doc_id").alias("first_doc"), F.col("p.start").alias("first_start"), "times"), "firsts")
     # equal stretches: all but the earliest go whole
-    again = firsts.filter("n > 1").select("anchor", "whole", "first_doc", "first_start")
-    count = (F.octet_length("windows") / 8).cast("long")
-    whole = rows.join(again, ["anchor", "whole"]).filter("doc_id <> first_doc or start <> first_start").select("doc_id", "start", count.alias("count"))
-    # different stretches of one anchor: window by window
+    later = (F.col("doc_id") != F.col("first_doc")) | (F.col("start") != F.col("first_start"))
+    again = firsts.filter("times > 1").drop("times")
+    whole = rows.join(again, ["anchor", "whole"]).filter(later).select("doc_id", "start", F.col("n").alias("count"))
+    # different stretches of one anchor: window by window, at the earliest place of each stretch
     mixed = firsts.groupBy("anchor").count().filter("count > 1").select("anchor")
-    windows = stored(opened(firsts.join(mixed, "anchor", "left_semi").select("anchor", F.col("first_doc").alias("doc_id"), F.col("first_start").alias("start"), "windows")), "windows")
-    least = windows.groupBy("anchor", "win").agg(F.min(place).alias("p"), F.count("*").alias("n")).filter("n > 1").select("anchor", "win", F.col("p.doc_id").alias("first_doc"), F.col("p.start").alias("first_start"))
-    single = windows.join(least, ["anchor", "win"]).filter("doc_id <> first_doc or start <> first_start").select("doc_id", "start", F.lit(1).cast("long").alias("count"))
+    places = stored(keyed(firsts.join(mixed, "anchor", "left_semi")), "places")
+    windows = stored(windows_at(df, sc.broadcast(filter_of(places)), window, text), "windows")
+    least = windows.groupBy("anchor", "win").agg(F.min(place).alias("p"), F.count("*").alias("times")).filter("times > 1").select("anchor", "win", F.col("p.doc_id").alias("first_doc"), F.col("p.start").alias("first_start"))
+    single = windows.join(least, ["anchor", "win"]).filter(later).select("doc_id", "start", F.lit(1).alias("count"))
     return whole.unionByName(single)
 
 
@@ -192,7 +247,17 @@ def remove(df: DataFrame, window: int = WINDOW, text: str = "text") -> DataFrame
     kept = without(df, [text, *(f.name for f in new)])
     by_doc = spans(df, window, text).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start", "count")).alias("_s"))
     by_doc = by_doc.select("_id", F.col("_s.start").alias("_starts"), F.col("_s.count").alias("_counts"))
-    joined = df.join(by_doc, df["doc_id"].cast("long") == F.col("_id"), "left").select(*[df[c] for c in kept.columns], text_of(text).alias(text), "_starts", "_counts")
+    by_doc = stored(by_doc, "spans")
+    docs = df.select(*[df[c] for c in kept.columns], df["doc_id"].cast("long").alias("_doc"), text_of(text).alias(text))
+    columns = [*kept.columns, text, "_starts", "_counts"]
+    if in_bounds(by_doc):  # few enough ids to be sent round: only the documents that lose something move
+        ids = F.broadcast(by_doc.select("_id"))
+        hit = docs.join(ids, F.col("_doc") == F.col("_id"), "left_semi").join(by_doc, F.col("_doc") == F.col("_id")).select(*columns)
+        rest = docs.join(ids, F.col("_doc") == F.col("_id"), "left_anti")
+        none = F.lit(None).cast("array<int>")
+        joined = rest.withColumn("_starts", none).withColumn("_counts", none).select(*columns).unionByName(hit)
+    else:
+        joined = docs.join(by_doc, F.col("_doc") == F.col("_id"), "left").select(*columns)
     names = [*kept.columns, *(f.name for f in new), text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
