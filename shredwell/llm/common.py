@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -97,8 +98,21 @@ Batch = pa.RecordBatch
 
 
 def map_batches(df: DataFrame, f: Callable[[Iterator[Batch]], Iterator[Batch]], fields: list[T.StructField]) -> DataFrame:
-    """mapInArrow with the result's fields."""
-    return df.mapInArrow(f, T.StructType(fields))
+    """mapInArrow with the result's fields; a worker that has done a task gives its free memory back, as it may idle for long."""
+
+    def run(batches: Iterator[Batch]) -> Iterator[Batch]:
+        yield from f(batches)
+        give_back()
+
+    return df.mapInArrow(run, T.StructType(fields))
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, gram_hashes, map_batches, mix64, small, stored, table, text_bytes, text_of, word_hashes, word_spans
+from .common import chunks, give_back, gram_hashes, map_batches, mix64, small, stored, table, text_bytes, text_of, word_hashes, word_spans
 from .graph import components
 
 TOKENS = 64
@@ -42,7 +42,7 @@ DEEPEST = 8
 BLOCK = 500
 #: Equal tokens of two sketches, of 64: what similarity 0.8 doesn't fall below, and what a third set does not that is alike one of two such.
 NEAR, FAR = 34, 12
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 _rng = np.random.RandomState(20)
 _A = (_rng.randint(0, 1 << 62, TOKENS).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -313,6 +313,7 @@ def resolved(members: DataFrame, n: int, similarity: float) -> DataFrame:
                 own.join(k, first.setdefault(label, k))
             rep, only = g["rep"].tolist(), g["only"].to_numpy()
             out += [(rep[i], rep[j]) for i, j in links([sets[i] for i in g["_i"]], similarity, own, only if only.any() else None)]
+        give_back()
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return members.groupBy("bucket").applyInPandas(run, "a long, b long")

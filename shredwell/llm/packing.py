@@ -31,7 +31,7 @@ MODEL = "byte_bpe_50k.json"
 END = 2
 MOST = 1024
 #: Words that a worker remembers, at most.
-CACHE = 500_000
+CACHE = 200_000
 
 # ---- tokens
 
