@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -20,17 +21,35 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a side that may be broadcast: ids of 8 bytes, so some tens of megabytes at most.
 MAX_BROADCAST_ROWS = 1_000_000
 
+#: Texts are long: batches of rows are bounded by bytes on their way to Python, and by fewer rows where Parquet is read.
+#: The defaults (4096 rows, 64 MB) take hundreds of megabytes of each executor outside its heap.
+SETTINGS = {"spark.sql.parquet.columnarReaderBatchSize": "512", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+
+#: Bytes of a row group of the tables in between; a writer holds one in memory.
+ROW_GROUP = 32 << 20
+
 _written: list[tuple[SparkSession, str]] = []
 
 
+def settle(spark: SparkSession) -> None:
+    """Give the session SETTINGS, except for those that it has been given already."""
+    given = spark.conf.getAll
+    for k, v in SETTINGS.items():
+        if k not in given:
+            spark.conf.set(k, v)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    settle(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set, as in tests."""
+    """The folder that driver and executors share. Where none is set a local one does, but only if there are no other machines."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         d = "file://" + tempfile.mkdtemp(prefix="shredwell-")
         spark.conf.set("spark.checkpoint.dir", d)
     return d.rstrip("/")
@@ -42,10 +61,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     The tables are deleted when the driver ends.
     """
     path = stored_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    settle(df.sparkSession)
+    df.write.options(**{"compression": "zstd", "parquet.block.size": ROW_GROUP}).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def let_go(spark: SparkSession, since: int, keep: DataFrame | None = None) -> None:
+    """Delete the tables written after the first `since`, but not what `keep` reads; a stage that has been written needs its own no more."""
+    read = set() if keep is None else {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in keep.inputFiles()}
+    gone = [(s, path) for s, path in _written[since:] if s is spark and path.rsplit("/", 1)[-1] not in read]
+    _written[:] = [x for x in _written if x not in gone]
+    _delete(gone)
+
+
+def written() -> int:
+    """How many tables there are now, for `let_go`."""
+    return len(_written)
+
+
 def stored_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if not _written:
@@ -54,8 +87,8 @@ def stored_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def _delete() -> None:
-    for spark, path in _written:
+def _delete(tables: list[tuple[SparkSession, str]] = _written) -> None:
+    for spark, path in tables:
         try:
             jvm = spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
@@ -84,6 +117,14 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in taken])
 
 
+def helpers(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that none of df's columns has."""
+    taken, mark = {c.lower() for c in df.columns}, "_"
+    while any(f"{mark}{n}".lower() in taken for n in names):
+        mark += "_"
+    return [mark + n for n in names]
+
+
 def in_bounds(df: DataFrame, most: int = MAX_BROADCAST_ROWS) -> bool:
     """Whether df has so few rows that it may be broadcast; looks at most+1 rows."""
     return df.limit(most + 1).count() <= most
@@ -104,6 +145,7 @@ def map_batches(df: DataFrame, f: Callable[[Iterator[Batch]], Iterator[Batch]],
         yield from f(batches)
         give_back()
 
+    settle(df.sparkSession)
     return df.mapInArrow(run, T.StructType(fields))
 
 

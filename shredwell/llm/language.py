@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, is_held_out, map_batches, table, text_bytes, without
+from .common import chunks, helpers, is_held_out, map_batches, table, text_bytes, without
 
 SAMPLE = 1_200
 SLOTS = 4096
@@ -158,7 +158,8 @@ def predict(df: DataFrame, model: Model, text: str = "text", reject: bool = Fals
                 best[far] = len(model.languages)
             yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(table[best].tolist(), pa.string()), pa.array(cosine, pa.float64()), pa.array(far)], names)
 
-    given = df.select(*kept.columns, lowered(text).alias("_bytes"), F.coalesce(F.col(text).cast("string").rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
+    body, has = helpers(kept, "bytes", "letter")
+    given = df.select(*kept.columns, lowered(text).alias(body), F.coalesce(F.col(text).cast("string").rlike(r"\p{L}"), F.lit(False)).alias(has))
     return map_batches(given, run, [*kept.schema.fields, *new])
 
 

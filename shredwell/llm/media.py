@@ -9,8 +9,10 @@ scan and rebuilds the thumbnail that the DC coefficients of the first (luminance
 8x8 block. Restart intervals are decoded side by side in numpy as long as blocks hold a DC coefficient only; other
 streams are decoded block by block.
 
-Null and empty texts are 192 spaces. A null, truncated or foreign media value gives nulls for everything read from it
-and an `error`. Input columns named like an output are replaced.
+Null and empty texts are 192 spaces. A null, truncated, malformed or foreign media value gives nulls for everything read
+from it and an `error`, whatever its bytes; no value fails the job or costs more memory than its own size allows (a block
+takes one bit at least, so a header can't ask for more blocks than the scan has bits). Image readers take a value of
+several streams for its first; here all of them are read. Input columns named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -45,8 +47,12 @@ def _dht(kind: int, lengths: dict[int, int]) -> bytes:
 
 def huffman_codes(counts: bytes, symbols: bytes) -> list[tuple[int, int, int]]:
     """(symbol, code, length) in canonical order."""
+    if len(counts) != 16 or len(symbols) < sum(counts):
+        raise Bad("a Huffman table is cut off")
     out, code, k = [], 0, 0
     for n in range(1, 17):
+        if code + counts[n - 1] > 1 << n:
+            raise Bad("a Huffman table has too many codes")
         for _ in range(counts[n - 1]):
             out.append((symbols[k], code, n))
             code, k = code + 1, k + 1
@@ -54,6 +60,10 @@ def huffman_codes(counts: bytes, symbols: bytes) -> list[tuple[int, int, int]]:
     return out
 
 
+class Bad(ValueError):
+    """Not a baseline stream."""
+
+
 _DC, _AC = _dht(0x00, DC_LENGTHS), _dht(0x10, {0: 1})
 
 
@@ -159,16 +169,16 @@ def encode(df: DataFrame, text: str = "text", media: str = "media") -> DataFrame
     return map_batches(df.select(*names, text_of(text).alias(text)), run, fields)
 
 
-class Bad(ValueError):
-    """Not a baseline stream."""
-
-
 def parse(data: bytes, i: int = 0) -> tuple[dict, int]:
     """The headers of the stream at i, with where its scan begins."""
     if data[i : i + 2] != b"\xff\xd8":
         raise Bad("no start of image")
-    i += 2
     out: dict = {"dqt": {}, "dht": {}, "dri": 0, "frame": None}
+    return out, rest(data, out, i + 2)
+
+
+def rest(data: bytes, out: dict, i: int) -> int:
+    """Read segments from i on into out up to a scan, and tell where the scan begins."""
     while True:
         while data[i : i + 2] == b"\xff\xff":
             i += 1
@@ -183,15 +193,24 @@ def parse(data: bytes, i: int = 0) -> tuple[dict, int]:
             while body:
                 wide = body[0] >> 4
                 n = 128 if wide else 64
+                if len(body) < 1 + n:
+                    raise Bad("a quantiser table is cut off")
                 out["dqt"][body[0] & 15] = int.from_bytes(body[1 : 3 if wide else 2], "big")
                 body = body[1 + n :]
         elif marker == 0xC4:
             while body:
                 n = sum(body[1:17])
+                if len(body) < 17 + n:
+                    raise Bad("a Huffman table is cut off")
                 out["dht"][body[0]] = bytes(body[1 : 17 + n])
                 body = body[17 + n :]
         elif marker == 0xC0:
-            out["frame"] = (int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big"), [(body[k], body[k + 1] >> 4, body[k + 1] & 15, body[k + 2]) for k in range(6, 6 + 3 * body[5], 3)])
+            if len(body) < 6 or len(body) < 6 + 3 * body[5] or body[0] != 8 or not body[5]:
+                raise Bad("a frame header is cut off or not of 8 bits")
+            comps = [(body[k], body[k + 1] >> 4, body[k + 1] & 15, body[k + 2]) for k in range(6, 6 + 3 * body[5], 3)]
+            if not all(1 <= h <= 4 and 1 <= v <= 4 for _, h, v, _ in comps):
+                raise Bad("sampling factors out of range")
+            out["frame"] = (int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big"), comps)
         elif 0xC1 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
             raise Bad("not baseline")
         elif marker == 0xDD:
@@ -199,8 +218,12 @@ def parse(data: bytes, i: int = 0) -> tuple[dict, int]:
         elif marker == 0xDA:
             if not out["frame"]:
                 raise Bad("scan without frame")
+            if not body or len(body) < 1 + 2 * body[0] or not body[0]:
+                raise Bad("a scan header is cut off")
             out["scan"] = {body[k]: (body[k + 1] >> 4, body[k + 1] & 15) for k in range(1, 1 + 2 * body[0], 2)}
-            return out, i
+            return i
+        elif marker in (0xD8, 0xD9):
+            raise Bad("an image ends without a scan")
 
 
 def split_scan(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -232,7 +255,7 @@ def block_table(dc: bytes, ac: bytes) -> np.ndarray:
         for size, code, n in huffman_codes(dc[:16], dc[16:]):
             for ec, en in eob:
                 total = n + size + en
-                if total > 16:
+                if size > 11 or total > 16:
                     continue
                 for extra in range(1 << size):
                     d = extra if not size or extra >> (size - 1) else extra - (1 << size) + 1
@@ -244,8 +267,8 @@ def block_table(dc: bytes, ac: bytes) -> np.ndarray:
     return _tables[dc, ac]
 
 
-def decode_lanes(data: np.ndarray, starts: np.ndarray, blocks: np.ndarray, lut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """DC coefficients of each interval by block, all intervals at once, and which intervals had nothing else."""
+def decode_lanes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, blocks: np.ndarray, lut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """DC coefficients of each interval by block, all intervals at once, and which intervals had nothing else and didn't end early."""
     padded = np.concatenate([data, np.full(4, 255, np.uint8)]).astype(np.uint32)
     words = padded[:-3] << 24 | padded[1:-2] << 16 | padded[2:-1] << 8 | padded[3:]
     most = int(blocks.max())
@@ -264,7 +287,7 @@ def decode_lanes(data: np.ndarray, starts: np.ndarray, blocks: np.ndarray, lut:
         pos = pos + (e & 31)
         dc += e >> 5
         out[k] = dc
-    return out.T, ok
+    return out.T, ok & (pos <= ends * 8)
 
 
 def decode_scalar(head: dict, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -278,6 +301,8 @@ def decode_scalar(head: dict, data: np.ndarray, starts: np.ndarray) -> np.ndarra
     if one:
         cols, rows = -(-(-(-width * h0 // hmax)) // 8), -(-(-(-height * v0 // vmax)) // 8)
         h0 = v0 = 1
+    if 2 * rows * v0 * cols * h0 > 8 * len(data):
+        raise Bad("more blocks than the scan has bits")
     grid = np.zeros((rows * v0, cols * h0), np.int32)
     edges = [*(starts * 8).tolist(), len(data) * 8]
     bits = data.tolist()
@@ -302,8 +327,8 @@ def decode_scalar(head: dict, data: np.ndarray, starts: np.ndarray) -> np.ndarra
     for m in range(rows * cols):
         if head["dri"] and m and m % head["dri"] == 0:
             lane += 1
-            if lane >= len(starts):
-                raise Bad("missing restart interval")
+            if lane >= len(starts) or pos > edges[lane]:
+                raise Bad("a restart interval is missing or cut off")
             pos, pred = edges[lane], [0] * len(comps)
         for k, (cid, h, v, _) in enumerate(comps):
             if cid not in head["scan"]:
@@ -314,6 +339,8 @@ def decode_scalar(head: dict, data: np.ndarray, starts: np.ndarray) -> np.ndarra
                     if pos >= len(bits) * 8:
                         raise Bad("truncated scan")
                     size = symbol(codes[td])
+                    if size > 11:
+                        raise Bad("a difference of too many bits")
                     extra = get(size)
                     pred[k] += extra if not size or extra >> (size - 1) else extra - (1 << size) + 1
                     i = 1
@@ -321,19 +348,60 @@ def decode_scalar(head: dict, data: np.ndarray, starts: np.ndarray) -> np.ndarra
                         rs = symbol(codes[0x10 | ta])
                         if rs == 0:
                             break
+                        if not rs & 15 and rs != 0xF0:
+                            raise Bad("no such coefficient")
                         get(rs & 15)
                         i += (rs >> 4) + 1
+                    if i > 64:
+                        raise Bad("too many coefficients")
                     if k == 0:
                         grid[(m // cols) * v0 + y, (m % cols) * h0 + x] = pred[0]
-    return grid
+    # the blocks of the picture alone: those that only fill up a group of blocks go
+    _, h0, v0, _ = comps[0]
+    return grid[: -(-(-(-height * v0 // vmax)) // 8), : -(-(-(-width * h0 // hmax)) // 8)]
 
 
-def _fast(head: dict) -> bool:
-    return len(head["frame"][2]) == 1 and head["dri"] > 0
+def luminance(value: bytes, raw: np.ndarray, i: int) -> tuple[dict, np.ndarray, np.ndarray, int]:
+    """Headers, scan and restart intervals of the stream at i, and where it ends. Scans that don't hold the first component are passed over."""
+    head, at = parse(value, i)
+    while True:
+        data, starts, end = split_scan(raw[at:])
+        height, width, comps = head["frame"]
+        if not height or not width:
+            raise Bad("no picture")
+        if comps[0][0] in head["scan"]:
+            td, ta = head["scan"][comps[0][0]]
+            if td not in head["dht"] or 0x10 | ta not in head["dht"] or comps[0][3] not in head["dqt"]:
+                raise Bad("a table is missing")
+            for c, _, _, _ in comps:
+                if c in head["scan"] and not {head["scan"][c][0], 0x10 | head["scan"][c][1]} <= set(head["dht"]):
+                    raise Bad("a table is missing")
+            break
+        at = rest(value, head, at + end)
+    i = at + end
+    while value[i + 1 : i + 2] not in (b"\xd9", b""):  # scans of other components
+        later = {"dqt": dict(head["dqt"]), "dht": dict(head["dht"]), "dri": 0, "frame": head["frame"]}
+        at = rest(value, later, i)
+        i = at + split_scan(raw[at:])[2]
+    return head, data, starts, i + 2
+
+
+def _blocks(head: dict) -> int:
+    height, width, _ = head["frame"]
+    return -(-height // 8) * -(-width // 8)
+
+
+def _fast(head: dict, scan: np.ndarray, starts: np.ndarray) -> bool:
+    """One component, as many restart intervals as there must be, and no more blocks than there can be."""
+    n = _blocks(head)
+    return len(head["frame"][2]) == 1 and head["dri"] > 0 and 2 * n <= 8 * len(scan) and len(starts) == -(-n // head["dri"])
 
 
 def thumbnails(media: list[bytes | None]) -> list[tuple | None | str]:
-    """(width, height, levels by row) of each value, end to end where it holds several streams; else what is wrong."""
+    """(width, height, levels by row) of each value, end to end where it holds several streams; else what is wrong.
+
+    Whatever goes wrong in a value, whichever step finds it, is that value's error alone.
+    """
     out: list = [None] * len(media)
     jobs: dict[tuple, list] = {}
     parts: dict[int, list] = {}
@@ -342,35 +410,30 @@ def thumbnails(media: list[bytes | None]) -> list[tuple | None | str]:
             out[k] = "null"
             continue
         try:
-            i, raw, n = 0, np.frombuffer(value, np.uint8), 0
-            while i < len(value) or not n:
-                head, at = parse(value, i)
-                data, starts, end = split_scan(raw[at:])
-                i, n = at + end + 2, n + 1
-                height, width, comps = head["frame"]
-                if not height or not width or comps[0][0] not in head["scan"]:
-                    raise Bad("no luminance")
-                parts.setdefault(k, []).append([head, data, starts, None])
-                if _fast(head):
-                    td, ta = head["scan"][comps[0][0]]
-                    jobs.setdefault((head["dht"][td], head["dht"][0x10 | ta]), []).append(parts[k][-1])
-        except (Bad, IndexError, KeyError) as e:
+            i, raw, streams, fast = 0, np.frombuffer(value, np.uint8), [], []
+            while i < len(value) or not streams:
+                head, data, starts, i = luminance(value, raw, i)
+                streams.append([head, data, starts, None])
+                if _fast(head, data, starts):
+                    td, ta = head["scan"][head["frame"][2][0][0]]
+                    tables = (head["dht"][td], head["dht"][0x10 | ta])
+                    block_table(*tables)
+                    fast.append(((*tables, min(head["dri"], _blocks(head))), streams[-1]))
+            parts[k] = streams
+            for key, stream in fast:
+                jobs.setdefault(key, []).append(stream)
+        except Exception as e:
             out[k] = f"{type(e).__name__}: {e}"
-            parts.pop(k, None)
-    for (dc, ac), group in jobs.items():
-        counts = []
-        for head, _, starts, _ in group:
-            h, w, _ = head["frame"]
-            total = -(-h // 8) * -(-w // 8)
-            counts.append(np.clip(total - head["dri"] * np.arange(len(starts)), 0, head["dri"]))
+    for (dc, ac, _), group in jobs.items():
+        counts = [np.clip(_blocks(head) - head["dri"] * np.arange(len(starts)), 0, head["dri"]) for head, _, starts, _ in group]
         sizes = np.array([len(g[1]) for g in group])
         base = np.cumsum(sizes) - sizes
         lanes = np.array([len(g[2]) for g in group])
-        rows, ok = decode_lanes(np.concatenate([g[1] for g in group]), np.concatenate([g[2] for g in group]) + np.repeat(base, lanes), np.concatenate(counts), block_table(dc, ac))
+        starts = np.concatenate([g[2] for g in group]) + np.repeat(base, lanes)
+        rows, ok = decode_lanes(np.concatenate([g[1] for g in group]), starts, np.append(starts[1:], sizes.sum()), np.concatenate(counts), block_table(dc, ac))
         for g, a, n, c in zip(group, np.cumsum(lanes) - lanes, lanes, counts, strict=True):
             h, w, _ = g[0]["frame"]
-            total = -(-h // 8) * -(-w // 8)
-            if ok[a : a + n].all() and c.sum() == total:
+            if ok[a : a + n].all():
                 x = rows[a : a + n]
                 g[3] = (x if (c == x.shape[1]).all() else np.concatenate([r[:m] for r, m in zip(x, c, strict=True)])).reshape(-(-h // 8), -(-w // 8))
     for k, streams in parts.items():
@@ -379,11 +442,11 @@ def thumbnails(media: list[bytes | None]) -> list[tuple | None | str]:
             for head, data, starts, grid in streams:
                 g = decode_scalar(head, data, starts) if grid is None else grid
                 q = head["dqt"][head["frame"][2][0][3]]
-                grids.append(np.clip((g * q + 4) // 8 + 128, 0, 255).astype(np.uint8))
+                grids.append(np.clip((g.astype(np.int64) * q + 4) // 8 + 128, 0, 255).astype(np.uint8))
             if len({g.shape[1] for g in grids}) > 1:
                 raise Bad("streams of different widths")
             out[k] = (streams[0][0]["frame"][1], sum(s[0]["frame"][0] for s in streams), np.concatenate(grids) if len(grids) > 1 else grids[0])
-        except (Bad, IndexError, KeyError) as e:
+        except Exception as e:
             out[k] = f"{type(e).__name__}: {e}"
     return out
 

@@ -10,7 +10,7 @@ No task ever orders a whole source: ranks are cut into slices by u, slices are s
 holds the boundary is ordered, after being cut so fine that it has some thousands of documents.
 
 Null sources are a source of their own, null texts have size 0, and documents of size 0 are taken 0 times. Rows that
-repeat an id draw the same u and are sampled as documents of their own, in no particular order among themselves.
+repeat an id draw u from the id and their text, so they are documents of their own; rows alike in both share a rank.
 An empty table gives an empty result; sources without words have target 0.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, stored, table, without
+from .common import WORD, helpers, stored, table, without
 
 #: Documents in a slice, about.
 SLICE = 4096
@@ -52,16 +52,17 @@ def cyclic_weights(sources: list[str | None], cycle: tuple[float, ...] = (3, 1,
     return {s: cycle[i % len(cycle)] for i, s in enumerate(ordered)}
 
 
-def draw(doc_id: str, seed: int) -> Column:
-    """A number in (0, 1) that depends on the id and the seed alone."""
-    h = F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(seed))
+def draw(doc_id: str, seed: int, also: list[str] | None = None) -> Column:
+    """A number in (0, 1) that depends on the id, the seed and the columns `also` alone."""
+    h = F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(seed), *(F.col(c) for c in also or []))
     return (F.shiftrightunsigned(h, 11).cast("double") + 0.5) / F.lit(float(1 << 53))
 
 
-def mix(df: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", share: float = 1.5, most: float = 2.0, cycle: tuple[float, ...] = (3, 1, 2), seed: int = 0, weight: str | None = None, size: Column | None = None) -> DataFrame:
+def mix(df: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", share: float = 1.5, most: float = 2.0, cycle: tuple[float, ...] = (3, 1, 2), seed: int = 0, weight: str | None = None, size: Column | None = None, also: list[str] | None = None) -> DataFrame:
     """df with size, source_size, target and taken (words that the mix takes of the row, repeats counted).
 
-    df is read several times; `size` says where a row's size is, if not to be counted in the text. The sources' names and totals come to the driver: a row for each source.
+    df is read several times; `size` says where a row's size is, if not to be counted in the text, and `also` what tells rows
+    of one id apart, if not the text. The sources' names and totals come to the driver: a row for each source.
     """
     added = ["size", "source_size", "target", "taken"]
     rows = without(df, added).withColumn("size", n_words(text) if size is None else size)
@@ -77,26 +78,26 @@ def mix(df: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str
         plan.append((r[0], s, float(t), whole, p if p > 1e-12 else 0.0, round(t) - whole * s if p > 1e-12 else 0, max(1, math.ceil(r["n"] / SLICE))))
     spark = df.sparkSession
     kind = dict(df.dtypes)[source]
-    schema = f"_source {kind}, source_size long, target double, _whole int, _p double, _rest long, _slices int"
-    plans = F.broadcast(spark.createDataFrame(plan, schema))
-    u = draw(doc_id, seed)
-    odds = F.col("_p") / (1 - F.col("_p")) * (F.lit(1.0) if weight is None else F.coalesce(F.col(weight).cast("double"), F.lit(1.0)))
-    # the rank u/(1-u) / odds, brought back to (0, 1), orders as the rank does and cuts into even slices
-    rank = F.col("_u") / (F.col("_u") + (1 - F.col("_u")) * F.when(F.col("_p") > 0, odds).otherwise(1.0))
-    even = F.lit(1.0) if weight is not None else F.when(F.col("_p") > 0, odds).otherwise(1.0)
-    flat = F.col("_rank") * even / (1 - F.col("_rank") + F.col("_rank") * even)
-    rows = rows.join(plans, F.col(source).eqNullSafe(F.col("_source"))).withColumn("_u", u).withColumn("_rank", rank).withColumn("_slice", F.least((flat * F.col("_slices")).cast("int"), F.col("_slices") - 1))
-    sums = rows.filter("_rest > 0").groupBy("_source", "_slice").agg(F.sum("size").alias("_sum"), F.max("_rest").alias("_rest"))
+    of, p_, whole_, rest_, slices_, u_, rank_, slice_, s_, cut_, here_, more_ = helpers(df, "source", "p", "whole", "rest", "slices", "u", "rank", "slice", "s", "cut", "here", "more")
+    col = F.col
+    plans = F.broadcast(spark.createDataFrame(plan, T.StructType([T.StructField(of, T._parse_datatype_string(kind)), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField(whole_, T.IntegerType()), T.StructField(p_, T.DoubleType()), T.StructField(rest_, T.LongType()), T.StructField(slices_, T.IntegerType())])))
+    # the Pareto rank, u/(1-u) over the odds, brought to (0, 1): that orders as the rank does
+    odds = F.when(col(p_) > 0, col(p_) / (1 - col(p_))).otherwise(F.lit(1.0))
+    own = odds if weight is None else odds * F.coalesce(F.greatest(col(weight).cast("double"), F.lit(1e-9)), F.lit(1.0))
+    rank = col(u_) / (col(u_) + (1 - col(u_)) * own)
+    flat = col(rank_) * odds / (1 - col(rank_) + col(rank_) * odds)  # slices are even where there are no weights
+    rows = rows.join(plans, col(source).eqNullSafe(col(of))).withColumn(u_, draw(doc_id, seed, [text] if also is None else also)).withColumn(rank_, rank).withColumn(slice_, F.least((flat * col(slices_)).cast("int"), col(slices_) - 1))
+    sums = rows.filter(col(rest_) > 0).groupBy(of, slice_).agg(F.sum("size").alias("sum"), F.max(rest_).alias("rest"))
     # a row for each slice: some thousandths of the documents, and of a source's slices one for each SLICE documents
-    run = sums.withColumn("_upto", F.sum("_sum").over(Window.partitionBy("_source").orderBy("_slice")))
-    cut = run.filter((F.col("_upto") >= F.col("_rest")) & (F.col("_upto") - F.col("_sum") < F.col("_rest"))).select(F.col("_source").alias("_s"), F.col("_slice").alias("_cut"), (F.col("_rest") - F.col("_upto") + F.col("_sum")).alias("_here"))
-    rows = rows.join(F.broadcast(cut), F.col("_source").eqNullSafe(F.col("_s")), "left")  # at most a row for each source
-    inner, outer = rows.filter(F.col("_slice") == F.col("_cut")), rows.filter((F.col("_slice") != F.col("_cut")) | F.col("_cut").isNull())
-    before = Window.partitionBy("_source").orderBy("_rank", doc_id, "size").rowsBetween(Window.unboundedPreceding, -1)
-    left = F.col("_here") - F.coalesce(F.sum("size").over(before), F.lit(0))
-    inner = inner.withColumn("_more", F.greatest(F.lit(0), F.least(F.col("size"), left)))
-    outer = outer.withColumn("_more", F.when(F.col("_slice") < F.col("_cut"), F.col("size")).otherwise(F.lit(0)).cast("long"))
-    both = outer.unionByName(inner).withColumn("taken", (F.col("size") * F.col("_whole") + F.col("_more")).cast("long"))
+    run = sums.withColumn("upto", F.sum("sum").over(Window.partitionBy(of).orderBy(slice_)))
+    cut = run.filter((col("upto") >= col("rest")) & (col("upto") - col("sum") < col("rest"))).select(col(of).alias(s_), col(slice_).alias(cut_), (col("rest") - col("upto") + col("sum")).alias(here_))
+    rows = rows.join(F.broadcast(cut), col(of).eqNullSafe(col(s_)), "left")  # at most a row for each source
+    inner, outer = rows.filter(col(slice_) == col(cut_)), rows.filter((col(slice_) != col(cut_)) | col(cut_).isNull())
+    before = Window.partitionBy(of).orderBy(rank_, doc_id, "size").rowsBetween(Window.unboundedPreceding, -1)
+    left = col(here_) - F.coalesce(F.sum("size").over(before), F.lit(0))
+    inner = inner.withColumn(more_, F.greatest(F.lit(0), F.least(col("size"), left)))
+    outer = outer.withColumn(more_, F.when(col(slice_) < col(cut_), col("size")).otherwise(F.lit(0)).cast("long"))
+    both = outer.unionByName(inner).withColumn("taken", (col("size") * col(whole_) + col(more_)).cast("long"))
     return both.select(*without(df, added).columns, *added)
 
 
@@ -104,9 +105,10 @@ def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """The mix itself: each document as many times as it is taken; the one at a source's boundary counts as whole from half its size on."""
     n = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
     copies = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast(T.ArrayType(T.IntegerType())))
-    return mixed.select(*columns, F.explode(copies).alias("_copy")).select(*columns)
+    (copy,) = helpers(mixed, "copy")
+    return mixed.select(*columns, F.explode(copies).alias(copy)).select(*columns)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = stored(table(spark, sf_dir, "documents").select("doc_id", "source", n_words().alias("n")), "sizes")
-    return mix(sizes, size=F.col("n")).select("doc_id", "size", "source_size", "target", "taken")
+    sizes = stored(table(spark, sf_dir, "documents").select("doc_id", "source", n_words().alias("n"), F.xxhash64("text").alias("h")), "sizes")
+    return mix(sizes, size=F.col("n"), also=["h"]).select("doc_id", "size", "source_size", "target", "taken")

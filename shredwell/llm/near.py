@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, give_back, gram_hashes, map_batches, mix64, small, stored, table, text_bytes, text_of, word_hashes, word_spans
+from .common import chunks, give_back, gram_hashes, helpers, map_batches, mix64, small, stored, table, text_bytes, text_of, word_hashes, word_spans
 from .graph import components
 
 TOKENS = 64
@@ -380,8 +380,9 @@ def groups(df: DataFrame, n: int = 5, similarity: float = 0.8, trees: int = TREE
 
 def dedup(df: DataFrame, n: int = 5, similarity: float = 0.8, trees: int = TREES, text: str = "text") -> DataFrame:
     """df with one document of each group, the one with the smallest id."""
-    gone = stored(groups(df, n, similarity, trees, text).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return df.join(small(gone), df["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    (mark,) = helpers(df, "gone")
+    gone = stored(groups(df, n, similarity, trees, text).filter("not kept").select(F.col("doc_id").alias(mark)).distinct(), "gone")
+    return df.join(small(gone), F.col("doc_id").cast("long") == F.col(mark), "left_anti")
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,9 +7,8 @@ unbiased risk
     prior * E[loss(g(x), +) | trusted positive] + max(0, E[loss(g(x), -) | unlabelled] - prior * E[loss(g(x), -) | trusted positive])
 
 with the logistic loss, so that sigmoid(g) estimates the chance of being good. Unlabelled texts are web texts of the
-training fold, drawn regardless of labels. The prior is the share of positives among the training fold's labels where
-both kinds occur, and else the largest share that the scores allow: the least ratio of the unlabelled's to the positives'
-upper tails.
+training fold, drawn regardless of labels. Negative labels are never read, for the prior neither: it is the largest share
+that scores of a first fit allow, the least ratio of the unlabelled's to the positives' upper tails.
 
 Fitting reads `sample` trusted positives and `sample` unlabelled texts, those whose ids hash lowest, a bound that is
 a parameter; scoring reads all rows and whole texts. Null texts are empty; empty texts are scored by the same model.
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, is_held_out, map_batches, table, text_bytes, text_of, without, word_hashes, word_spans
+from .common import chunks, helpers, is_held_out, map_batches, table, text_bytes, text_of, without, word_hashes, word_spans
 
 SAMPLE = 8_000
 THRESHOLD = 0.7
@@ -101,7 +100,7 @@ def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(np.clip(min([(1 - u) / max(1 - p, 1e-9) for u, p in tail] + [1.0]), 0.02, 0.98))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, rounds: int = 300, rate: float = 0.05, decay: float = 1e-4) -> Model:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, rounds: int = 300, rate: float = 0.05, decay: float = 1e-4) -> Model:
     """Minimise the non-negative risk by Adam on all rows; where the negative part goes below zero, its gradient is turned round."""
     width = unlabelled.shape[1] if len(unlabelled) else WIDTH
     if not len(positive) or not len(unlabelled):
@@ -144,25 +143,30 @@ def featurised(df: DataFrame, text: str) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int = SAMPLE, learn_from=None) -> Model:
-    """A model from docs (doc_id, text) and labels (doc_id, quality); learn_from says which ids are of the training fold."""
+    """A model from docs (doc_id, text) and labels (doc_id, quality); learn_from says which ids are of the training fold.
+
+    Only labels of 1 are looked at. Of rows that repeat an id the one with the least text hash is read.
+    """
     fold = ~is_held_out() if learn_from is None else learn_from
-    known = labels.filter(fold & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    counts = {int(r["quality"] == 1): r["n"] for r in known.groupBy(F.col("quality") == 1).agg(F.max("quality").alias("quality"), F.count("*").alias("n")).collect()}
-    prior = counts[1] / (counts[0] + counts[1]) if counts.get(0) and counts.get(1) else None
-    low = F.xxhash64(F.col("doc_id").cast("string"), F.lit(17))
-    positive = known.filter("quality = 1").orderBy(low, "doc_id").limit(sample).select("doc_id", F.lit(1).alias("positive"))
-    other = docs.filter(fold & F.col("doc_id").isNotNull()).select("doc_id").orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(23)), "doc_id").limit(sample).select("doc_id", F.lit(0).alias("positive"))
+    low = lambda seed: F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed))
+    positive = labels.filter(fold & (F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    positive = positive.orderBy(low(17), "doc_id").limit(sample).select("doc_id", F.lit(1).alias("positive"))
+    other = docs.filter(fold & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    other = other.orderBy(low(23), "doc_id").limit(sample).select("doc_id", F.lit(0).alias("positive"))
     ids = F.broadcast(positive.unionByName(other).withColumnRenamed("doc_id", "_id"))  # at most twice `sample` rows
-    chosen = docs.select("doc_id", text).join(ids, F.col("doc_id") == F.col("_id")).select("doc_id", "positive", text)
-    rows = sorted((r["positive"], r["doc_id"], bytes(r["features"])) for r in featurised(chosen, text).limit(4 * sample).collect())
+    body = text_of(text)
+    chosen = docs.select("doc_id", body.alias("_text")).join(ids, F.col("doc_id") == F.col("_id"))
+    one = chosen.groupBy("doc_id", "positive").agg(F.min(F.struct(F.xxhash64("_text").alias("h"), F.col("_text").alias("t"))).alias("m"))
+    rows = sorted((r["positive"], r["doc_id"], bytes(r["features"])) for r in featurised(one.select("doc_id", "positive", F.col("m.t").alias("text")), "text").collect())
     x = {k: np.array([np.frombuffer(f, np.float32) for p, _, f in rows if p == k], np.float32).reshape(-1, WIDTH) for k in (0, 1)}
-    return fit(x[1], x[0], prior)
+    return fit(x[1], x[0])
 
 
 def score(df: DataFrame, model: Model, text: str = "text", keep_text: bool = False) -> DataFrame:
     """df with a score (and without its text, unless kept)."""
     names = without(df, ["score"] + ([] if keep_text else [text])).columns
     given = without(df, ["score"])
+    (body,) = helpers(given, "bytes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -170,7 +174,7 @@ def score(df: DataFrame, model: Model, text: str = "text", keep_text: bool = Fal
             s = [model.score(features(raw[at[i] : at[j]], at[i : j + 1] - at[i])) for i, j in chunks(at, CHUNK)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.concatenate(s).astype(float) if s else [], pa.float64())], [*names, "score"])
 
-    return map_batches(given.select(*names, text_of(text).alias("_bytes")), run, [*(f for f in given.schema.fields if f.name in names), T.StructField("score", T.DoubleType())])
+    return map_batches(given.select(*names, text_of(text).alias(body)), run, [*(f for f in given.schema.fields if f.name in names), T.StructField("score", T.DoubleType())])
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

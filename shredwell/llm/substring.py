@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, gram_hashes, in_bounds, map_batches, mix64, stored, table, text_bytes, text_of, without, word_hashes, word_spans
+from .common import chunks, gram_hashes, helpers, in_bounds, map_batches, mix64, stored, table, text_bytes, text_of, without, word_hashes, word_spans
 
 WINDOW = 20
 RUNS = 11
@@ -221,7 +221,9 @@ def spans(df: DataFrame, window: int = WINDOW, text: str = "text") -> DataFrame:
     """doc_id, start, count: windows that also start earlier, as runs of neighbouring starts."""
     sc = df.sparkSession.sparkContext
     repeated = stored(repeated_anchors(df, window, text), "anchors")
-    rows = stored(stretches(df, sc.broadcast(filter_of(repeated)), window, text), "stretches")
+    bits = sc.broadcast(filter_of(repeated))
+    rows = stored(stretches(df, bits, window, text), "stretches")
+    bits.unpersist()
     place = F.struct("doc_id", "start")
     firsts = rows.groupBy("anchor", "whole").agg(F.min(place).alias("p"), F.count("*").alias("times"))
     firsts = stored(firsts.select("anchor", "whole", F.col("p.doc_id").alias("first_doc"), F.col("p.start").alias("first_start"), "times"), "firsts")
@@ -232,7 +234,9 @@ def spans(df: DataFrame, window: int = WINDOW, text: str = "text") -> DataFrame:
     # different stretches of one anchor: window by window, at the earliest place of each stretch
     mixed = firsts.groupBy("anchor").count().filter("count > 1").select("anchor")
     places = stored(keyed(firsts.join(mixed, "anchor", "left_semi")), "places")
-    windows = stored(windows_at(df, sc.broadcast(filter_of(places)), window, text), "windows")
+    bits = sc.broadcast(filter_of(places))
+    windows = stored(windows_at(df, bits, window, text), "windows")
+    bits.unpersist()
     least = windows.groupBy("anchor", "win").agg(F.min(place).alias("p"), F.count("*").alias("times")).filter("times > 1").select("anchor", "win", F.col("p.doc_id").alias("first_doc"), F.col("p.start").alias("first_start"))
     single = windows.join(least, ["anchor", "win"]).filter(later).select("doc_id", "start", F.lit(1).alias("count"))
     return whole.unionByName(single)
@@ -245,19 +249,23 @@ def remove(df: DataFrame, window: int = WINDOW, text: str = "text") -> DataFrame
     """df with n_words, n_removed and, in place of the text, its kept words joined by one space."""
     new = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]
     kept = without(df, [text, *(f.name for f in new)])
-    by_doc = spans(df, window, text).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start", "count")).alias("_s"))
-    by_doc = by_doc.select("_id", F.col("_s.start").alias("_starts"), F.col("_s.count").alias("_counts"))
+    key, id_, begins, sizes = helpers(df, "doc", "id", "starts", "counts")
+    # runs that repeat (rows that share an id) merge, so a document has one entry a place at most
+    by_doc = spans(df, window, text).groupBy("doc_id", "start").agg(F.max("count").alias("count"))
+    by_doc = by_doc.groupBy(F.col("doc_id").alias(id_)).agg(F.collect_list(F.struct("start", "count")).alias("s"))
+    by_doc = by_doc.select(id_, F.col("s.start").alias(begins), F.col("s.count").alias(sizes))
     by_doc = stored(by_doc, "spans")
-    docs = df.select(*[df[c] for c in kept.columns], df["doc_id"].cast("long").alias("_doc"), text_of(text).alias(text))
-    columns = [*kept.columns, text, "_starts", "_counts"]
+    docs = df.select(*[df[c] for c in kept.columns], df["doc_id"].cast("long").alias(key), text_of(text).alias(text))
+    columns = [*kept.columns, text, begins, sizes]
+    same = F.col(key) == F.col(id_)
     if in_bounds(by_doc):  # few enough ids to be sent round: only the documents that lose something move
-        ids = F.broadcast(by_doc.select("_id"))
-        hit = docs.join(ids, F.col("_doc") == F.col("_id"), "left_semi").join(by_doc, F.col("_doc") == F.col("_id")).select(*columns)
-        rest = docs.join(ids, F.col("_doc") == F.col("_id"), "left_anti")
+        ids = F.broadcast(by_doc.select(id_))
+        hit = docs.join(ids, same, "left_semi").join(by_doc, same).select(*columns)
+        rest = docs.join(ids, same, "left_anti")
         none = F.lit(None).cast("array<int>")
-        joined = rest.withColumn("_starts", none).withColumn("_counts", none).select(*columns).unionByName(hit)
+        joined = rest.withColumn(begins, none).withColumn(sizes, none).select(*columns).unionByName(hit)
     else:
-        joined = docs.join(by_doc, F.col("_doc") == F.col("_id"), "left").select(*columns)
+        joined = docs.join(by_doc, same, "left").select(*columns)
     names = [*kept.columns, *(f.name for f in new), text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
