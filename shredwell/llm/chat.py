@@ -10,8 +10,9 @@ Template, by role:  system <<SYS>>text<</SYS>>   user [INST]text[/INST]   assist
 what a text holds can't be read as a mark; `unescaped` takes this back.
 
 A conversation of any length is folded in blocks of BLOCK message numbers, so no task gathers all events of one;
-only rendered blocks meet in the one value that the conversation is. Messages order by number, null numbers first.
-An empty table gives an empty result.
+only rendered blocks meet in the one value that the conversation is. Events move once, to their conversation's block;
+messages and blocks are folded there. Messages order by number, null numbers first, then by role and text.
+`under_mask` reads what the loss mask covers out of the rendered value. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -48,14 +49,16 @@ def rendered(role: Column, text: Column) -> Column:
     return out
 
 
-def final_messages(events: DataFrame) -> DataFrame:
-    """(conv_id, message, role, text) from (conv_id, seq, message, kind, role, text).
+def final_messages(events: DataFrame, apart: tuple[str, ...] = ()) -> DataFrame:
+    """(conv_id, block, message, *apart, role, text) from (conv_id, seq, message, kind, role, text); block is message / BLOCK.
 
-    Events of one message are folded where they meet; runs of deltas are joined beforehand in blocks of sequence
-    numbers, so that a message streamed in very many deltas is gathered as a few strings.
+    `apart` names columns that tell messages of one number apart. Events of a message are folded in runs of sequence
+    numbers and these joined, so that a message streamed in very many deltas is gathered as a few strings.
     """
     kind = F.when(F.col("kind").isin("delta", "edit", "regenerate", "delete"), F.col("kind")).otherwise(F.lit("message"))
-    e = events.select("conv_id", "message", F.floor(F.col("seq") / 1024).alias("_block"), F.struct("seq", kind.alias("kind"), "role", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).alias("e"))
+    e = events.select("conv_id", F.floor(F.col("message") / BLOCK).alias("block"), "message", *apart, F.floor(F.col("seq") / 1024).alias("_run"), F.struct("seq", kind.alias("kind"), "role", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).alias("e"))
+    e = e.repartition("conv_id", "block")  # what follows, up to the rendered blocks, is grouped by these and more
+    keys = ["conv_id", "block", "message", *apart]
 
     # state: whether text so far was set within this block, the pieces since, whether it is deleted, the last role
     def step(s: Column, x: Column) -> Column:
@@ -70,9 +73,8 @@ def final_messages(events: DataFrame) -> DataFrame:
         )
 
     zero = F.struct(F.lit(False).alias("set"), F.expr("cast(array() as array<string>)").alias("parts"), F.lit(False).alias("gone"), F.expr("cast(null as string)").alias("role"))
-    blocks = e.groupBy("conv_id", "message", "_block").agg(F.sort_array(F.collect_list("e")).alias("es")).select(
-        "conv_id", "message", "_block", F.aggregate("es", zero, step).alias("s"))
-    blocks = blocks.select("conv_id", "message", F.struct("_block", F.col("s.set").alias("set"), F.array_join("s.parts", "").alias("text"), F.col("s.gone").alias("gone"), F.col("s.role").alias("role")).alias("b"))
+    runs = e.groupBy(*keys, "_run").agg(F.sort_array(F.collect_list("e")).alias("es")).select(*keys, "_run", F.aggregate("es", zero, step).alias("s"))
+    runs = runs.select(*keys, F.struct("_run", F.col("s.set").alias("set"), F.array_join("s.parts", "").alias("text"), F.col("s.gone").alias("gone"), F.col("s.role").alias("role")).alias("b"))
 
     def join(s: Column, x: Column) -> Column:
         return F.struct(
@@ -82,15 +84,17 @@ def final_messages(events: DataFrame) -> DataFrame:
         )
 
     zero = F.struct(F.expr("cast(array() as array<string>)").alias("parts"), F.lit(False).alias("gone"), F.expr("cast(null as string)").alias("role"))
-    whole = blocks.groupBy("conv_id", "message").agg(F.sort_array(F.collect_list("b")).alias("bs")).select("conv_id", "message", F.aggregate("bs", zero, join).alias("s"))
-    return whole.filter(~F.col("s.gone")).select("conv_id", "message", F.coalesce("s.role", F.lit("")).alias("role"), F.array_join("s.parts", "").alias("text"))
+    whole = runs.groupBy(*keys).agg(F.sort_array(F.collect_list("b")).alias("bs")).select(*keys, F.aggregate("bs", zero, join).alias("s"))
+    return whole.filter(~F.col("s.gone")).select(*keys, F.coalesce("s.role", F.lit("")).alias("role"), F.array_join("s.parts", "").alias("text"))
 
 
 def format_messages(messages: DataFrame) -> DataFrame:
     """A row for each conversation: conv_id, formatted, n_turns, loss_spans (start and length of each assistant text in formatted, in code points)."""
     role, text = F.coalesce(F.col("role").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit(""))
     turn = F.struct("message", role.alias("role"), text.alias("text"))
-    block = messages.select("conv_id", F.floor(F.col("message") / BLOCK).alias("_block"), turn.alias("t")).groupBy("conv_id", "_block").agg(F.sort_array(F.collect_list("t")).alias("ts"))
+    if "block" not in messages.columns:
+        messages = messages.select("conv_id", F.floor(F.col("message") / BLOCK).alias("block"), "message", "role", "text")
+    block = messages.select("conv_id", "block", turn.alias("t")).groupBy("conv_id", "block").agg(F.sort_array(F.collect_list("t")).alias("ts"))
     lines = F.transform("ts", lambda t: rendered(t["role"], t["text"]))
     sizes = F.transform("ts", lambda t: F.struct(F.char_length(rendered(t["role"], t["text"])).alias("n"), F.when(t["role"] == "assistant", F.char_length(escaped(t["text"]))).alias("loss")))
 
@@ -99,8 +103,8 @@ def format_messages(messages: DataFrame) -> DataFrame:
         return F.struct((s["at"] + x["n"]).alias("at"), F.when(x["loss"].isNotNull(), F.concat(s["spans"], F.array(here))).otherwise(s["spans"]).alias("spans"))
 
     zero = F.expr("named_struct('at', 0, 'spans', cast(array() as array<struct<start:int,length:int>>))")
-    block = block.select("conv_id", "_block", F.array_join(lines, "").alias("text"), F.size("ts").alias("n"), F.aggregate(sizes, zero, span).alias("s"))
-    block = block.select("conv_id", "n", F.struct("_block", "text", F.col("s.at").alias("at"), F.col("s.spans").alias("spans")).alias("b"))
+    block = block.select("conv_id", "block", F.array_join(lines, "").alias("text"), F.size("ts").alias("n"), F.aggregate(sizes, zero, span).alias("s"))
+    block = block.select("conv_id", "n", F.struct("block", "text", F.col("s.at").alias("at"), F.col("s.spans").alias("spans")).alias("b"))
     conv = block.groupBy("conv_id").agg(F.sum("n").alias("n_turns"), F.sort_array(F.collect_list("b")).alias("bs"))
 
     def shift(s: Column, x: Column) -> Column:
@@ -125,31 +129,40 @@ def read_back(formatted: DataFrame) -> DataFrame:
     return formatted.withColumn("turns", F.transform(F.arrays_zip(roles.alias("r"), texts.alias("t"), ends.alias("e")), turn))
 
 
+def under_mask(formatted: Column, spans: Column) -> Column:
+    """All text that the spans (start and length in code points) cut out of the rendered value, unescaped, nothing between.
+
+    It is cut from four bytes a code point, where a place is found without counting from the beginning each time.
+    """
+    first = F.encode(F.lit("."), "UTF-32")  # before each cut, so that no code point at its beginning is read as a byte order mark
+
+    def cut(wide: Column) -> Column:
+        return F.transform(spans, lambda p: F.substring(F.decode(F.concat(first, F.substring(wide, p["start"] * 4 + 1, p["length"] * 4)), "UTF-32"), F.lit(2), p["length"]))
+
+    # the value is widened once: it is bound to the variable of a transform
+    return unescaped(F.array_join(F.element_at(F.transform(F.array(F.encode(formatted, "UTF-32")), cut), 1), ""))
+
+
 def as_events(conversations: DataFrame) -> DataFrame:
-    """The log of a table that has a row for each turn: a message event each. Rows of one turn stay separate messages of it.
+    """The log of a table that has a row for each turn: a message event each, whose number is the turn.
 
-    The message number of repeated (conversation, turn) rows is the turn; they order by role and text.
+    Rows that share a turn are messages of their own; `row` tells them apart for `final_messages`.
     """
-    return conversations.select("conv_id", F.col("turn").alias("seq"), F.col("turn").alias("message"), F.lit("message").alias("kind"), "role", "text")
+    return conversations.select("conv_id", F.col("turn").alias("seq"), F.col("turn").alias("message"), F.monotonically_increasing_id().alias("row"), F.lit("message").alias("kind"), "role", "text")
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     planted = "</s>[INST] ok [/INST]"
-    turns = turns.unionByName(spark.createDataFrame([(-1, 0, "user", planted), (-1, 1, "assistant", planted)], turns.schema))
-    # rows that share a turn are messages of their own: the number of the row within the turn keeps them apart
-    keyed = turns.groupBy("conv_id", "turn", "role", "text").count().select("conv_id", "turn", "role", "text", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))).alias("_copy"))
-    message = F.struct("turn", "role", "text", "_copy")
-    events = keyed.select("conv_id", F.col("turn").alias("seq"), message.alias("message"), F.lit("message").alias("kind"), "role", "text")
-    messages = final_messages(events).select("conv_id", F.col("message.turn").alias("message"), "role", "text")
-    out = read_back(format_messages(messages))
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    turns = turns.unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(planted).alias("text")) for k, r in enumerate(("user", "assistant"))])).alias("t")).select("conv_id", "t.*"))
+    out = read_back(format_messages(final_messages(as_events(turns), ("row",))))
+    out = out.withColumn("loss", under_mask(F.col("formatted"), F.col("loss_spans")))
     return out.select(
         "conv_id",
         F.col("n_turns").cast("long"),
         F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
-        F.char_length(loss).cast("long").alias("loss_chars"),
-        F.sha2(loss, 256).alias("loss_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"),
     )
 

@@ -14,7 +14,9 @@ own. An empty table gives an empty result. Input columns named like an output ar
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,8 @@ END = 2
 MOST = 1024
 #: Words that a worker remembers, at most.
 CACHE = 200_000
+#: Steps of the program; a quarter of them when it goes on with what is left.
+STEPS = 160
 
 # ---- tokens
 
@@ -128,106 +132,154 @@ def pieces(df: DataFrame, text: str = "text", path: str | None = None, most: int
 # ---- the program
 
 
-def price(values: np.ndarray, lengths: np.ndarray, most: int, waste: bool = False) -> np.ndarray:
-    """How often each length is in the most valuable configuration (knapsack by capacity), among those without waste unless it is allowed; the fullest there is if none is without."""
-    best, took = np.full(most + 1, 0.0 if waste else -np.inf), np.full(most + 1, -1)
-    best[0] = 0.0
-    upto = np.searchsorted(lengths, np.arange(most + 1), "right")
-    for c in range(int(lengths[0]), most + 1):
-        n = upto[c]
-        v = values[:n] + best[c - lengths[:n]]
-        k = int(v.argmax())
-        if waste and v[k] <= best[c - 1]:
-            best[c] = best[c - 1]
-        else:
-            best[c], took[c] = v[k], k
-    out, c = np.zeros(len(lengths), np.int64), int(np.flatnonzero(best > -np.inf)[-1])
-    while c > 0:
-        if took[c] < 0:
-            c -= 1
-            continue
-        out[took[c]] += 1
-        c -= int(lengths[took[c]])
-    return out
-
-
-def cover(histogram: dict[int, int], most: int = MOST, epsilon: float = 0.3, rounds: int = 400) -> list[tuple[np.ndarray, float]]:
-    """The covering program by the textbook: the best configuration, waste allowed, as far as its scarcest length goes;
-    values shrink with what is covered. Scaled so that nine tenths of the lengths are covered no more than once."""
-    lengths = np.array(sorted(histogram), np.int64)
-    counts = np.array([histogram[k] for k in lengths], float)
-    value, covered = lengths / most, np.zeros(len(lengths))
-    configs: dict[bytes, list] = {}
-    for _ in range(rounds):
-        x = price(value, lengths, most, waste=True)
-        used = x > 0
-        n = (counts[used] / x[used]).min()
-        configs.setdefault(x.tobytes(), [x, 0.0])[1] += n
-        covered += x * n / counts
-        value = value * np.exp(-epsilon * x * n / counts)
-    scale = 1 / max(np.quantile(covered, 0.9), 1e-9)
-    return [(x, n * scale) for x, n in configs.values()]
-
-
-def solve(histogram: dict[int, int], most: int = MOST, epsilon: float = 0.5, step: float = 0.5, rounds: int = 500, part: float = 0.7, tilt: float = 1.1) -> list[tuple[np.ndarray, float]]:
-    """A fractional packing of most of the histogram into configurations: (how often each length, weight), lengths ascending.
-
-    Multiplicative weights: a length is worth its size (to the power `tilt`: long ones are harder to place) times its
-    weight; each round takes the best configuration for
-    a part (`step`) of what its scarcest length has, and shrinks the weights of what it covers, in proportion to
-    the share of the length that it covers, so that all lengths are used up at the same pace. It ends when the
-    `part` of all tokens is covered, no configuration without waste is left, or after so many rounds; so the result is
-    bounded.
-    """
-    lengths = np.array(sorted(histogram), np.int64)
-    counts = np.array([histogram[k] for k in lengths], np.int64)
-    weight, left = np.ones(len(lengths)), counts.astype(float)
-    configs: dict[bytes, list] = {}
-    worth, total = lengths.astype(float) ** tilt, counts @ lengths
-    for _ in range(rounds):
-        open_ = left >= 1
-        if left @ lengths < (1 - part) * total or not open_.any():
-            break
-        x = np.zeros(len(lengths), np.int64)
-        x[open_] = price(weight[open_] * worth[open_], lengths[open_], most)
-        used = x > 0
-        if (x > left).any():  # it asks for more of a length than there is: such lengths are worth little from now on
-            weight[x > left] *= 0.5
-            continue
-        if x @ lengths < most:
-            break
-        n = min(max(1.0, step * (counts[used] / x[used]).min()), (left[used] / x[used]).min())
-        configs.setdefault(x.tobytes(), [x, 0.0])[1] += n
-        left -= x * n
-        share = x * n / counts
-        weight *= np.exp(-epsilon * share / share.max())
-        weight /= weight.max()
-    return [(x, n) for x, n in configs.values()]
+class Program:
+    """The configuration program, min sum x with every length covered as often as it occurs, by multiplicative weights.
 
+    A length has a weight, a free token has `waste`; x of a configuration is proportional to the product of the weights of
+    what is in it. `priced` is the knapsack's dynamic programming over all configurations at once: by capacity the sum of
+    these products, whence how often each length is in a sequence. `step` multiplies a length's weight by what it lacks of its
+    count to a power. As long as lengths are covered evenly, `waste` shrinks too, so that in the end tokens are free only
+    where they must be. Any weights give a bound: their logarithms as prices, summed over all pieces and divided by the
+    most valuable configuration.
+    """
 
-def plan(histogram: dict[int, int], most: int = MOST) -> list[tuple[list[tuple[int, int]], int]]:
-    """Configurations as [(length, how often)] and the number of sequences of each; every piece is placed once."""
-    histogram = {int(k): int(v) for k, v in histogram.items() if v}
-    out: list[tuple[list[tuple[int, int]], int]] = []
-    if full := histogram.pop(most, 0):
-        out.append(([(most, 1)], full))
-    if not histogram:
+    def __init__(self, histogram: dict[int, int], most: int):
+        self.most, self.lengths = most, np.array(sorted(histogram), np.int64)
+        self.counts = np.array([histogram[k] for k in self.lengths], float)
+        self.weights, self.waste = 0.02 * self.counts / self.counts.sum(), 0.98
+        self.upto = np.searchsorted(self.lengths, np.arange(most + 1), "right")
+
+    def left(self, counts: np.ndarray) -> None:
+        """The same for what is left; lengths that are gone go."""
+        on = counts > 0
+        self.lengths, self.counts, self.weights = self.lengths[on], counts[on].astype(float), self.weights[on]
+        self.upto = np.searchsorted(self.lengths, np.arange(self.most + 1), "right")
+
+    def priced(self) -> None:
+        with np.errstate(all="ignore"):  # what is out of range ends the program, in `plan`
+            for _ in range(40):
+                z = np.zeros(self.most + 1)
+                z[0] = 1.0
+                for c in range(1, self.most + 1):
+                    n = self.upto[c]
+                    z[c] = self.waste * z[c - 1] + (self.weights[:n] @ z[c - self.lengths[:n]] if n else 0.0)
+                if 1e-99 < z[-1] < 1e99:
+                    break
+                # weights times s to the power of lengths say the same of full sequences
+                s = 10.0 ** ((80 if z[-1] <= 1e-99 else -80) / self.most)
+                self.weights, self.waste = self.weights * s**self.lengths, self.waste * s
+            s = z[-1] ** (-1 / self.most)
+            self.weights, self.waste, z = self.weights * s**self.lengths, self.waste * s, z * s ** np.arange(self.most + 1)
+            both = np.convolve(z, z)[: self.most + 1]
+            self.sums, self.often, self.free = z, self.weights * both[self.most - self.lengths], self.waste * both[self.most - 1]
+            #: the value: so many sequences, if lengths come up as they occur
+            self.value = float(self.counts @ self.lengths) / max(self.most - self.free, 1e-9)
+
+    def solve(self, steps: int, eta: float = 0.4) -> None:
+        tokens = float(self.counts @ self.lengths)
+        for _ in range(steps):
+            self.priced()
+            covered = self.covered()
+            lack = float(np.maximum(1 - covered, 0) * self.counts @ self.lengths) / tokens
+            self.weights = self.weights * np.clip(1 / np.maximum(covered, 1e-300), 0.1, 10) ** eta
+            if lack < 0.03 and self.free > 1e-4:
+                self.waste *= 0.7
+        self.priced()
+
+    def covered(self) -> np.ndarray:
+        return self.value * self.often / self.counts
+
+    def covering(self) -> float:
+        """The value of x with a sequence more for each few pieces that it doesn't cover: that covers all."""
+        return self.value + float(np.maximum(1 - self.covered(), 0) * self.counts @ (1 / (self.most // self.lengths)))
+
+    def bound(self) -> float:
+        """No packing has fewer sequences."""
+        price = np.maximum(np.log(np.maximum(self.weights, 1e-300)) - self.lengths * np.log(self.waste), 0)
+        best = np.zeros(self.most + 1)
+        for c in range(1, self.most + 1):
+            n = self.upto[c]
+            best[c] = max(best[c - 1], (price[:n] + best[c - self.lengths[:n]]).max() if n else 0.0)
+        return max(float(self.counts @ self.lengths) / self.most, float(self.counts @ price) / max(best[-1], 1e-300))
+
+    def drawn(self, n: int, rng: np.random.RandomState) -> Counter:
+        """Configurations (lengths' numbers, ascending) drawn n times in proportion to x, traced back through the sums."""
+        back = np.arange(self.most + 1)[:, None] - self.lengths[None, :]
+        each = np.where(back >= 0, self.weights * self.sums[np.maximum(back, 0)], 0.0)
+        upto = np.cumsum(np.column_stack([each, self.waste * np.append(0.0, self.sums[:-1])]), axis=1)
+        out: Counter = Counter()
+        size = np.append(self.lengths, 1)
+        for a in range(0, n, 2000):
+            room = np.full(min(2000, n - a), self.most)
+            at, found = np.arange(len(room)), [[] for _ in range(len(room))]
+            while len(at):
+                r = rng.random_sample(len(at)) * upto[room, -1]
+                k = np.minimum((upto[room] <= r[:, None]).sum(1), len(self.lengths))
+                for i, j in zip(at.tolist(), k.tolist(), strict=True):
+                    if j < len(self.lengths):
+                        found[i].append(j)
+                room = room - size[k]
+                at, room = at[room > 0], room[room > 0]
+            out.update(tuple(sorted(f)) for f in found)
         return out
-    # many different lengths fill sequences without waste, few can't: the better of both ways to run the program stays
-    return out + min((rounded(histogram, f(histogram, most), most) for f in (solve, cover)), key=lambda p: sum(n for _, n in p))
 
 
-def rounded(histogram: dict[int, int], found: list[tuple[np.ndarray, float]], most: int) -> list[tuple[list[tuple[int, int]], int]]:
-    """Whole sequences of the fractional solution, and best fit for what is left over."""
-    lengths, out = sorted(histogram), []
-    size, left = np.array(lengths), np.array([histogram[k] for k in lengths], np.int64)
-    for a, x in sorted(found, key=lambda c: (-int(c[0] @ size), c[0].tobytes())):
-        used = a > 0
-        n = min(int(x), int((left[used] // a[used]).min()))
-        if n > 0:
-            out.append(([(lengths[k], int(a[k])) for k in np.flatnonzero(a)], n))
-            left -= a * n
-    return out + best_fit({k: int(n) for k, n in zip(lengths, left, strict=True) if n}, most)
+@dataclass
+class Plan:
+    """entries: configurations as [(length, how often)] and the number of sequences of each; every piece is placed once.
+    program: the tokens in sequences that are rounded configurations, of `tokens` in all. value: the program's. bound:
+    no packing has fewer sequences."""
+
+    entries: list[tuple[list[tuple[int, int]], int]]
+    sequences: int
+    tokens: int
+    program: int
+    value: float
+    bound: float
+
+
+def plan(histogram: dict[int, int], most: int = MOST, leave: float = 0.01, draws: int = 4000, part: float = 0.6, seed: int = 0) -> Plan:
+    """The program is solved and rounded: configurations are drawn in proportion to x for `part` of its value, each taken
+    a whole number of times as long as there are pieces for it; then it is solved again for what is left, from the weights
+    it has. When `leave` of the tokens are left, best fit places these. Of all places where it could have stopped, not to
+    have begun among them, the one with the fewest sequences counts, of equal ones the last."""
+    histogram = {int(k): int(v) for k, v in histogram.items() if v}
+    tokens = sum(k * v for k, v in histogram.items())
+    full = histogram.pop(most, 0)
+    start: list[tuple[list[tuple[int, int]], int]] = [([(most, 1)], full)] if full else []
+    rest = best_fit(histogram, most)
+    least = Plan(start + rest, full + sum(n for _, n in rest), tokens, full * most, float(full), float(full))
+    if not histogram:
+        return least
+    rng, x = np.random.RandomState(seed), Program(histogram, most)
+    x.solve(STEPS)
+    value, bound = full + x.covering(), full + x.bound()
+    taken: Counter = Counter()
+    sequences, program = full, full * most
+    while len(x.lengths) and x.counts @ x.lengths > leave * tokens and np.isfinite(x.value) and np.isfinite(x.weights).all():
+        left, some = x.counts.astype(np.int64), 0
+        wanted = part * x.value
+        each = max(1, int(wanted / draws))
+        for c, n in x.drawn(max(1, min(draws, int(wanted))), rng).most_common():
+            need = Counter(c)
+            n = min([n * each, *(int(left[j]) // m for j, m in need.items())]) if need else 0
+            if n > 0:
+                some += n
+                taken[tuple(sorted(((int(x.lengths[j]), m) for j, m in need.items()), reverse=True))] += n
+                for j, m in need.items():
+                    left[j] -= n * m
+                    program += n * m * int(x.lengths[j])
+        if not some:
+            break
+        sequences += some
+        rest = best_fit({int(k): int(n) for k, n in zip(x.lengths, left, strict=True) if n}, most)
+        if (n := sequences + sum(n for _, n in rest)) <= least.sequences:
+            least = Plan(start + [(list(c), m) for c, m in taken.items()] + rest, n, tokens, program, 0.0, 0.0)
+        x.left(left)
+        if len(x.lengths):
+            x.solve(STEPS // 4)
+    least.value, least.bound = value, bound
+    return least
 
 
 def best_fit(histogram: dict[int, int], most: int) -> list[tuple[list[tuple[int, int]], int]]:
@@ -293,7 +345,7 @@ def pack(lengths: DataFrame, order: list[str], most: int = MOST) -> DataFrame:
     names = [c for c in without(lengths, ["sequence_id", "offset"]).columns]
     lengths = lengths.select(*names)
     histogram = {r["length"]: r["count"] for r in lengths.groupBy("length").count().collect()}  # a row for each length
-    where = slots(plan(histogram, most))
+    where = slots(plan(histogram, most).entries)
     new = [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
