@@ -1,41 +1,46 @@
-"""Cleaning records before inference."""
+"""Cleaning records before inference, as VARIANT throughout."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.records import prepare
+
 #: Fixed patterns of keys that hold machine-read or debugging data.
 DROPPED_KEYS = r"_ocr_\d+(_result)?$|_debug_tags$"
 STRINGIFIED = ("nutriments",)
 NESTED_DROPS = {"images": ("uploaded", "selected")}
 
 
-def cleaned(text: Column, dropped: str = DROPPED_KEYS, stringified: tuple[str, ...] = STRINGIFIED, nested: dict[str, tuple[str, ...]] = NESTED_DROPS) -> Column:
-    """The record as JSON without such keys; some values as strings of JSON; some keys of nested objects dropped, and these objects when nothing is left. NULL for what isn't a JSON object."""
-    m = F.try_variant_get(F.try_parse_json(text), "$", "map<string,variant>")
-    m = F.map_filter(m, lambda k, v: ~k.rlike(dropped))
+def cleaned(v: Column, dropped: str = DROPPED_KEYS, stringified: tuple[str, ...] = STRINGIFIED, nested: dict[str, tuple[str, ...]] = NESTED_DROPS) -> Column:
+    """The record without such keys; some objects as strings of JSON; some keys of nested objects dropped, and these objects when nothing is left. NULL for what isn't an object."""
+    m = F.map_filter(F.try_variant_get(v, "$", "map<string,variant>"), lambda k, _: ~k.rlike(dropped))
 
-    def value(k: Column, v: Column) -> Column:
-        out = F.to_json(v)
+    def value(k: Column, x: Column) -> Column:
+        out = x
         for name in stringified:
-            out = F.when((k == name) & ~F.is_variant_null(v) & (F.schema_of_variant(v) != "STRING"), F.to_json(F.parse_json(F.concat(F.lit('"'), _escaped(out), F.lit('"'))))).otherwise(out)
+            out = F.when((k == name) & F.schema_of_variant(x).startswith("OBJECT"), F.to_json(x).cast("variant")).otherwise(out)
         for name, keys in nested.items():
-            inner = F.map_filter(F.try_variant_get(v, "$", "map<string,variant>"), lambda a, b: ~a.isin(*keys))
-            out = F.when((k == name) & inner.isNotNull(), F.when(F.size(inner) > 0, F.to_json(inner))).otherwise(out)
+            inner = F.map_filter(F.try_variant_get(x, "$", "map<string,variant>"), _not_in(keys))
+            out = F.when((k == name) & inner.isNotNull(), F.when(F.size(inner) > 0, F.to_variant_object(inner))).otherwise(out)
         return out
 
-    kept = F.map_filter(F.transform_values(m, value), lambda k, v: v.isNotNull())
-    fields = F.transform(F.map_entries(kept), lambda e: F.concat(F.lit('"'), _escaped(e["key"]), F.lit('":'), e["value"]))
-    return F.when(m.isNotNull(), F.concat(F.lit("{"), F.array_join(fields, ","), F.lit("}")))
+    return F.to_variant_object(F.map_filter(F.transform_values(m, value), lambda _, x: x.isNotNull()))
+
+
+def _not_in(keys: tuple[str, ...]):
+    return lambda k, _: ~k.isin(*keys)
 
 
-def _escaped(s: Column) -> Column:
-    for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
-        s = F.replace(s, F.lit(a), F.lit(b))
-    return s
+def records(df: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """Cleaned records (doc_id, v) of JSON texts, parsed once; rows that aren't JSON objects go."""
+    prepare(df.sparkSession)
+    v = cleaned(F.try_parse_json(F.col(text)))
+    return df.select(F.col(doc_id).cast("string").alias("doc_id"), v.alias("v")).filter("v IS NOT NULL")
 
 
 def clean(df: DataFrame, text: str) -> DataFrame:
-    """df with cleaned records; rows that aren't JSON objects go."""
-    return df.withColumn(text, cleaned(F.col(text))).filter(F.col(text).isNotNull())
+    """df with cleaned records as JSON text; rows that aren't JSON objects go."""
+    prepare(df.sparkSession)
+    return df.withColumn(text, F.to_json(cleaned(F.try_parse_json(F.col(text))))).filter(F.col(text).isNotNull())

@@ -185,7 +185,7 @@ def auto_split(catalog: Catalog, t: Table, share: dict[str, float]) -> None:
     t.columns = [c for c in t.columns if c.generated or (c in scalar and share[c.key] >= o.stable_threshold)]
     t.layout = "auto_split"
     if dropped:
-        catalog.warnings.append(f"{t.name}: {len(dropped)} rare or array keys are left out: {', '.join(sorted(dropped)[:20])}")
+        catalog.warnings.append(f"{t.name}: {len(dropped)} rare or array keys are left out: {', '.join(sorted(dropped))}")
     if not medium:
         return
     base = t.name[: -len("_wide")] if t.name.endswith("_wide") else t.name

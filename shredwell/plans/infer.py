@@ -73,12 +73,13 @@ class Stats:
 def level_fields(nodes: DataFrame) -> DataFrame:
     """A row for each value below the nodes (path, v); arrays give one for each element, empty ones a null."""
     rows = nodes.lateralJoin(nodes.sparkSession.tvf.variant_explode(F.col("v").outer())).select("path", "key", F.col("value").alias("x"))
-    rows = rows.withColumn("raw", raw_tag(F.col("x")))
-    is_array = F.col("raw") == "array"
+    rows = rows.withColumn("schema", F.schema_of_variant("x"))
+    s, is_array = F.col("schema"), F.col("schema").startswith("ARRAY")
     items = F.when(is_array, F.try_variant_get("x", "$", "array<variant>")).otherwise(F.array("x"))
-    rows = rows.select("path", "key", is_array.alias("in_array"), items.alias("items"))
-    mixed = F.col("in_array") & F.exists("items", lambda i: F.schema_of_variant(i).startswith("OBJECT"))
-    rows = rows.withColumn("with_objects", mixed)
+    rows = rows.select("path", "key", is_array.alias("in_array"), items.alias("items"), s.startswith("ARRAY<OBJECT").alias("all_objects"), s.startswith("ARRAY<VARIANT").alias("various"))
+    # only items that have no type in common need to be looked at one by one
+    some = F.when(F.col("various"), F.exists("items", lambda i: F.schema_of_variant(i).startswith("OBJECT"))).otherwise(F.col("all_objects"))
+    rows = rows.withColumn("with_objects", F.coalesce(F.col("in_array") & some, F.lit(False)))
     out = rows.select("path", "key", "in_array", "with_objects", F.posexplode_outer("items").alias("pos", "item"))
     out = out.withColumn("raw", raw_tag(F.col("item")))
     return out.withColumn("tag", value_tag(F.col("item"), F.col("raw")))

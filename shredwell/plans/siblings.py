@@ -17,7 +17,7 @@ def key_shape(keys: list[str]) -> str:
     digits = sum(bool(re.fullmatch(r"[0-9]+", k)) for k in keys)
     lang = sum(bool(re.fullmatch(r"[A-Za-z]{2,3}", k)) for k in keys)
     n = max(len(keys), 1)
-    return "numeric" if digits / n >= KEY_SHARE else "iso_lang" if lang / n >= KEY_SHARE else "mixed" if 0 < digits < len(keys) else "slug"
+    return "numeric" if digits / n >= KEY_SHARE else "iso_lang" if lang / n >= KEY_SHARE else "mixed" if digits and lang else "slug"
 
 
 KEY_COLUMN = {"numeric": "key_id", "iso_lang": "lang_code", "mixed": "key", "slug": "key"}

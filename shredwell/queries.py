@@ -7,6 +7,7 @@ import json
 import tempfile
 from collections.abc import Callable
 from dataclasses import replace
+from uuid import uuid4
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -40,14 +41,14 @@ def frames(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 
 def records(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    return R.from_strings(frames(spark, sf_dir, sql), "t", "doc_id")
+    return R.from_strings(R.spread(frames(spark, sf_dir, sql)), "t", "doc_id")
 
 
 _kept: list[DataFrame] = []
 
 
 def kept(r: DataFrame) -> DataFrame:
-    """The records, parsed once for inference and load; those of the query before are let go."""
+    """The records, parsed once for inference and load. Those of the query before are let go; should its result be read later, they are parsed again."""
     while _kept:
         _kept.pop().unpersist()
     _kept.append(r.persist(StorageLevel.MEMORY_AND_DISK))
@@ -278,12 +279,12 @@ ORACLE_SQL["inspect_limit"] = "SELECT CAST(500 AS BIGINT) AS samples, CAST(2 AS
 
 
 def key_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = {"digits": [str(i) for i in range(9)] + ["x1"], "lang": ["en", "fr", "deu"], "mix": ["1", "two", "3x"], "slug": ["front_en", "back"]}
+    groups = {"digits": [str(i) for i in range(9)] + ["x1"], "lang": ["en", "fr", "deu"], "mix": ["1", "two", "en"], "places": ["1", "front"], "slug": ["front_en", "back"]}
     return spark.createDataFrame([(k, siblings.key_shape(v)) for k, v in groups.items()], "keys string, shape string")
 
 
 QUERIES["key_shape"] = key_shape
-ORACLE_SQL["key_shape"] = "SELECT * FROM (VALUES ('digits', 'numeric'), ('lang', 'iso_lang'), ('mix', 'mixed'), ('slug', 'slug')) v(keys, shape)"
+ORACLE_SQL["key_shape"] = "SELECT * FROM (VALUES ('digits', 'numeric'), ('lang', 'iso_lang'), ('mix', 'mixed'), ('places', 'slug'), ('slug', 'slug')) v(keys, shape)"
 
 
 def jaccard_min(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -325,7 +326,7 @@ NOISY = """SELECT CAST(event_id AS STRING) doc_id, concat('{"id":', event_id, ',
 
 
 def preprocess_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = R.from_strings(clean.clean(frames(spark, sf_dir, NOISY), "t"), "t", "doc_id")
+    r = kept(clean.records(R.spread(frames(spark, sf_dir, NOISY)), "t", "doc_id"))
     l = engine.load(r, engine.infer(r, Options(root="events")))
     e, i = l["events"], l["events_images"]
     keys = ",".join(c.name for t in l.catalog for c in t.data)
@@ -349,6 +350,16 @@ QUERIES["value_tags"] = value_tags
 ORACLE_SQL["value_tags"] = "SELECT CASE event_id % 12 WHEN 0 THEN 'integer' WHEN 10 THEN 'integer' WHEN 1 THEN 'float' WHEN 3 THEN 'boolean' WHEN 7 THEN 'bigint' WHEN 11 THEN 'date' WHEN 6 THEN 'null' ELSE 'varchar' END AS tag, count(*) AS n FROM events GROUP BY 1"
 
 
+def shared(spark: SparkSession, name: str) -> str:
+    """A new folder where driver and executors meet; one of this machine's only if there is no other machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"file://{tempfile.mkdtemp()}"
+    return f"{base.rstrip('/')}/{name}-{uuid4().hex}"
+
+
 def array_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A JSON array document as a source, its elements in order."""
     rows = frames(spark, sf_dir, "SELECT concat('[', array_join(transform(sort_array(collect_list(struct(n_nationkey, n_name))), x -> to_json(x)), ','), ']') a FROM {nation}")
@@ -367,10 +378,7 @@ def stream_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fixed catalogue over a stream, read once to its end; the table it wrote."""
     from .streaming import load as S
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
-    import uuid as u
-
-    base = f"{base.rstrip('/')}/stream-{u.uuid4().hex}"
+    base = shared(spark, "stream")
     frames(spark, sf_dir, EVENTS).select(F.col("t").alias("value")).write.text(f"{base}/in")
     c = engine.infer(records(spark, sf_dir, EVENTS), Options(root="events"))
     S.start(S.records(spark, f"{base}/in"), c, f"{base}/out", f"{base}/state", available_now=True).awaitTermination()

@@ -59,19 +59,31 @@ def write_jdbc(frames: dict[str, DataFrame], catalog: Catalog, url: str, propert
     """Parents first; each table in batches."""
     for level in by_depth(catalog):
         for n in level:
-            frames[n].write.option("batchsize", batch).option("truncate", True).jdbc(url, f"{catalog.options.schema}.{n}", "overwrite" if overwrite else "append", properties)
+            frames[n].write.option("batchsize", batch).option("truncate", True).jdbc(url, f"{checked_schema(catalog.options.schema)}.{n}", "overwrite" if overwrite else "append", properties)
 
 
-def jdbc_url(host: str, port: int, database: str) -> str:
+def jdbc_url(host: str, port: int, database: str, user: str | None = None, password: str | None = None) -> str:
     """IPv6 hosts get brackets; what isn't plain is percent-encoded."""
     from urllib.parse import quote
 
-    return f"jdbc:postgresql://{f'[{host}]' if ':' in host else host}:{port}/{quote(database, safe='')}"
+    if not host or not database or not port:
+        raise ValueError("a host, a port and a database are needed")
+    host = f"[{host}]" if ":" in host and not host.startswith("[") else host if host.startswith("[") else quote(host, safe="")
+    who = "&".join(f"{k}={quote(v, safe='')}" for k, v in (("user", user), ("password", password)) if v)
+    return f"jdbc:postgresql://{host}:{port}/{quote(database, safe='')}{'?' + who if who else ''}"
+
+
+def checked_schema(name: str) -> str:
+    """The name of a database schema: letters, digits and underscores."""
+    if not name or not all(c.isalnum() or c == "_" for c in name):
+        raise ValueError(f"not a schema name: {name!r}")
+    return name
 
 
 def copy_field(c: Column) -> Column:
-    """A value as COPY text: NULL is \\N; backslash, tab and line ends are escaped."""
+    """A value as COPY text: NULL is \\N; backslash, tab and line ends are escaped; a text with a NUL can't be copied and is NULL (the load has made it an anomaly)."""
     s = c.cast("string")
+    s = F.when(F.instr(s, "\0") == 0, s)
     for a, b in (("\\", "\\\\"), ("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r")):
         s = F.replace(s, F.lit(a), F.lit(b))
     return F.coalesce(s, F.lit("\\N"))
