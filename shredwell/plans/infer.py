@@ -86,26 +86,35 @@ def level_fields(nodes: DataFrame) -> DataFrame:
 
 
 def level_stats(fields: DataFrame) -> DataFrame:
-    own = ~F.col("in_array")
+    """A row for each path, key, kind of place (in an array or not, ...) and tag: how many, and how long its strings get."""
     first = F.col("in_array") & F.coalesce(F.col("pos") == 0, F.lit(True))
-    scalar = F.col("in_array") & ~F.col("with_objects")
-    size = F.octet_length(F.try_variant_get("item", "$", "string"))
-    text = F.col("raw") == "string"
-    aggs = [F.count_if(own & (F.col("tag") == t)).alias(f"tag_{t}") for t in TAGS]
-    aggs += [F.count_if(scalar & (F.col("tag") == t)).alias(f"element_{t}") for t in TAGS]
-    aggs += [
-        F.count_if(own & (F.col("tag") == "null")).alias("nulls"),
-        F.count_if(own & (F.col("tag") == "object")).alias("objects"),
-        F.count_if(first & F.col("with_objects")).alias("object_arrays"),
-        F.count_if(first & ~F.col("with_objects") & F.col("pos").isNotNull()).alias("scalar_arrays"),
-        F.count_if(first & F.col("pos").isNull()).alias("empty_arrays"),
-        F.count_if(F.col("with_objects") & (F.col("tag") == "object")).alias("element_objects"),
-        F.count_if(F.col("with_objects") & (F.col("tag") != "object")).alias("stray_scalars"),
-        F.count_if(scalar & (F.col("tag") == "null")).alias("element_nulls"),
-        F.coalesce(F.max(F.when(own & text, size)), F.lit(0)).alias("max_len"),
-        F.coalesce(F.max(F.when(scalar & text, size)), F.lit(0)).alias("element_max_len"),
-    ]
-    return fields.groupBy("path", "key").agg(*aggs)
+    size = F.when(F.col("raw") == "string", F.octet_length(F.try_variant_get("item", "$", "string")))
+    places = ["path", "key", "in_array", "with_objects", first.alias("first"), F.isnull("pos").alias("empty"), "tag"]
+    return fields.select(*places, size.alias("size")).groupBy("path", "key", "in_array", "with_objects", "first", "empty", "tag").agg(F.count("*").alias("n"), F.max("size").alias("longest"))
+
+
+def gathered(f: Field, r) -> None:
+    """Add a row of level_stats to its field."""
+    n, tag, longest = r["n"], r["tag"], r["longest"] or 0
+    if not r["in_array"]:
+        if tag in f.tags:
+            f.tags[tag] += n
+        f.nulls += n * (tag == "null")
+        f.objects += n * (tag == "object")
+        f.max_len = max(f.max_len, longest)
+        return
+    if r["first"]:
+        f.object_arrays += n * r["with_objects"]
+        f.scalar_arrays += n * (not r["with_objects"] and not r["empty"])
+        f.empty_arrays += n * r["empty"]
+    if r["with_objects"]:
+        f.element_objects += n * (tag == "object")
+        f.stray_scalars += n * (tag is not None and tag != "object")
+    else:
+        if tag in f.element_tags:
+            f.element_tags[tag] += n
+        f.element_nulls += n * (tag == "null")
+        f.element_max_len = max(f.element_max_len, longest)
 
 
 def child_nodes(fields: DataFrame) -> DataFrame:
@@ -113,20 +122,21 @@ def child_nodes(fields: DataFrame) -> DataFrame:
 
 
 def infer(records: DataFrame, root: str, max_depth: int = 100) -> Stats:
-    """Statistics of (doc_id, v). One job a level; what comes to the driver is a row for each path and key."""
+    """Statistics of (doc_id, v). One job a level; what comes to the driver are a few rows for each path and key."""
     stats = Stats({(root,): records.count()}, {})
     nodes = records.select(F.array(F.lit(root)).alias("path"), "v")
-    for _ in range(max_depth):
+    for depth in range(1, max_depth + 1):
         fields = level_fields(nodes)
-        rows = level_stats(fields).collect()
+        for r in level_stats(fields).collect():
+            if r["key"] is not None:  # an empty object has none
+                f = stats.fields.setdefault(tuple(r["path"]), {}).setdefault(r["key"], Field(dict.fromkeys(TAGS, 0), element_tags=dict.fromkeys(TAGS, 0)))
+                gathered(f, r)
         deeper = False
-        for r in rows:
-            path = tuple(r["path"])
-            f = Field({t: r[f"tag_{t}"] for t in TAGS}, r["nulls"], r["objects"], r["object_arrays"], r["scalar_arrays"], r["empty_arrays"], r["element_objects"], {t: r[f"element_{t}"] for t in TAGS}, r["element_nulls"], r["max_len"], r["element_max_len"], r["stray_scalars"])
-            stats.fields.setdefault(path, {})[r["key"]] = f
-            if n := f.objects + f.element_objects:
-                stats.rows[(*path, r["key"])] = n
-                deeper = True
+        for path in [p for p in stats.fields if len(p) == depth]:
+            for key, f in stats.fields[path].items():
+                if n := f.objects + f.element_objects:
+                    stats.rows[(*path, key)] = n
+                    deeper = True
         if not deeper:
             return stats
         nodes = child_nodes(fields)
