@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .common import map_batches, stored, table, text_of, without
+from .common import helpers, map_batches, stored, table, text_of, without
 
 MODEL = "byte_bpe_50k.json"
 END = 2
@@ -36,6 +36,8 @@ MOST = 1024
 CACHE = 200_000
 #: Steps of the program; a quarter of them when it goes on with what is left.
 STEPS = 160
+#: Share of the tokens that may lack cover while free tokens are made rarer.
+EVEN = 0.03
 
 # ---- tokens
 
@@ -138,8 +140,7 @@ class Program:
     A length has a weight, a free token has `waste`; x of a configuration is proportional to the product of the weights of
     what is in it. `priced` is the knapsack's dynamic programming over all configurations at once: by capacity the sum of
     these products, whence how often each length is in a sequence. `step` multiplies a length's weight by what it lacks of its
-    count to a power. As long as lengths are covered evenly, `waste` shrinks too, so that in the end tokens are free only
-    where they must be. Any weights give a bound: their logarithms as prices, summed over all pieces and divided by the
+    count to a power. As long as lengths are covered evenly, `waste` shrinks too, so that in the end tokens are free only where they must be. Any weights give a bound: their logarithms as prices, summed over all pieces and divided by the
     most valuable configuration.
     """
 
@@ -182,7 +183,7 @@ class Program:
             covered = self.covered()
             lack = float(np.maximum(1 - covered, 0) * self.counts @ self.lengths) / tokens
             self.weights = self.weights * np.clip(1 / np.maximum(covered, 1e-300), 0.1, 10) ** eta
-            if lack < 0.03 and self.free > 1e-4:
+            if self.free > 1e-4 and lack < EVEN:
                 self.waste *= 0.7
         self.priced()
 
@@ -331,13 +332,14 @@ def slots(planned: list[tuple[list[tuple[int, int]], int]]) -> dict[int, tuple[n
 def numbered(df: DataFrame, key: str, order: list[str], number: str, rows: int) -> DataFrame:
     """df with the rows of each key numbered from 0. A key's rows are cut into slices, numbered apart and shifted, so no task holds a whole common key."""
     n = max(1, -(-rows // 50_000))
-    cut = df.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(n)).cast("int"))
-    sums = cut.groupBy(key, "_slice").count()
-    before = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    shift = sums.select(F.col(key).alias("_key"), F.col("_slice").alias("_s"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_shift"))
-    own = F.row_number().over(Window.partitionBy(key, "_slice").orderBy(*order))
-    out = cut.withColumn("_own", own).join(shift, (F.col(key) == F.col("_key")) & (F.col("_slice") == F.col("_s")))
-    return out.select(*df.columns, (F.col("_own") - 1 + F.col("_shift")).cast("long").alias(number))
+    slice_, own_, key_, s_, shift_ = helpers(df, "slice", "own", "key", "s", "shift")
+    cut = df.withColumn(slice_, F.pmod(F.xxhash64(*order), F.lit(n)).cast("int"))
+    sums = cut.groupBy(F.col(key).alias(key_), F.col(slice_).alias(s_)).agg(F.count("*").alias("n"))
+    before = Window.partitionBy(key_).orderBy(s_).rowsBetween(Window.unboundedPreceding, -1)
+    shift = sums.select(key_, s_, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(shift_))
+    own = F.row_number().over(Window.partitionBy(key, slice_).orderBy(*order))
+    out = cut.withColumn(own_, own).join(shift, (F.col(key) == F.col(key_)) & (F.col(slice_) == F.col(s_)))
+    return out.select(*df.columns, (F.col(own_) - 1 + F.col(shift_)).cast("long").alias(number))
 
 
 def pack(lengths: DataFrame, order: list[str], most: int = MOST) -> DataFrame:
@@ -346,11 +348,12 @@ def pack(lengths: DataFrame, order: list[str], most: int = MOST) -> DataFrame:
     lengths = lengths.select(*names)
     histogram = {r["length"]: r["count"] for r in lengths.groupBy("length").count().collect()}  # a row for each length
     where = slots(plan(histogram, most).entries)
+    (number_,) = helpers(lengths, "number")
     new = [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            length, number = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("length", "_number"))
+            length, number = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("length", number_))
             sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
             by = np.argsort(length, kind="stable")
             edges = np.flatnonzero(np.diff(length[by])) + 1
@@ -361,7 +364,7 @@ def pack(lengths: DataFrame, order: list[str], most: int = MOST) -> DataFrame:
                     sequence[rows], offset[rows] = base[k] + number[rows] - first[k], place[k]
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
-    ranked = numbered(lengths, "length", order, "_number", sum(histogram.values()))
+    ranked = numbered(lengths, "length", order, number_, sum(histogram.values()))
     return map_batches(ranked, run, [*lengths.schema.fields, *new])
 
 

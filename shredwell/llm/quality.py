@@ -94,10 +94,28 @@ class Model:
 
 
 def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """From scores alone: no more positives than the rarest upper tail allows."""
-    cuts = np.quantile(positive, np.linspace(0.05, 0.95, 19))
-    tail = [((unlabelled < c).mean(), (positive < c).mean()) for c in cuts]
-    return float(np.clip(min([(1 - u) / max(1 - p, 1e-9) for u, p in tail] + [1.0]), 0.02, 0.98))
+    """From scores of texts that the scoring model hasn't seen: no more positives than the rarest upper tail allows.
+
+    A tail's share of the unlabelled over its share of the positives is the prior if no negative is in it. Each ratio counts
+    with half its standard error added, so that chance alone doesn't push the least of them down.
+    """
+    cuts = np.quantile(positive, np.linspace(0.01, 0.3, 15))
+    u, p = ((np.asarray(x)[None, :] >= cuts[:, None]).mean(1) for x in (unlabelled, positive))
+    ratio = u / np.maximum(p, 1e-9)
+    error = ratio * np.sqrt((1 - u) / np.maximum(u * len(unlabelled), 1) + (1 - p) / np.maximum(p * len(positive), 1))
+    return float(np.clip((ratio + error / 2).min(), 0.02, 0.98))
+
+
+def crossed_prior(positive: np.ndarray, unlabelled: np.ndarray, folds: int = 5, rounds: int = 100) -> float:
+    """The prior by scores of models that have not seen what they score: each fold by one fitted to the others."""
+    sp, su = np.zeros(len(positive)), np.zeros(len(unlabelled))
+    for k in range(folds):
+        of_p, of_u = np.arange(len(positive)) % folds == k, np.arange(len(unlabelled)) % folds == k
+        if of_p.all() or of_u.all():
+            return 0.5
+        model = fit(positive[~of_p], unlabelled[~of_u], 0.5, rounds)
+        sp[of_p], su[of_u] = model.score(positive[of_p]), model.score(unlabelled[of_u])
+    return estimated_prior(sp, su)
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, rounds: int = 300, rate: float = 0.05, decay: float = 1e-4) -> Model:
@@ -107,7 +125,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None
         p = 0.5 if prior is None else prior
         return Model(np.append(np.zeros(width), np.log(p / (1 - p))), np.zeros(width), np.ones(width), p)
     if prior is None:
-        prior = estimated_prior(*(fit(positive, unlabelled, 0.5, rounds // 3, rate, decay).score(x) for x in (positive, unlabelled)))
+        prior = crossed_prior(positive, unlabelled)
     both = np.concatenate([positive, unlabelled])
     mean, scale = both.mean(0), both.std(0) + 1e-2
     p, u = ((x - mean) / scale for x in (positive, unlabelled))
