@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shredwell.llm import exact, mixing, near, packing, quality
-from shredwell.llm.common import stored, table
+from shredwell.llm.common import helpers, let_go, stored, table, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,9 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    return mixing.repeated(mixing.mix(docs), docs.columns)
+    (size,) = helpers(docs, "size")
+    sized = stored(docs.withColumn(size, mixing.n_words()), "sized")  # words are counted once, the mix reads them several times
+    return mixing.repeated(mixing.mix(sized, size=F.col(size)), docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +56,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
+        before = written()
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stored(docs, f"stage-{name}")
+            let_go(spark, before - 1 if k else before, keep=docs)  # the stage's own tables and what it has read
     return docs
