@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import argparse
 import sys
+import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 from . import engine
 from .operators import anomalies as A
@@ -59,13 +62,21 @@ def options(a: argparse.Namespace) -> Options:
 
 
 def stdin_file(spark: SparkSession) -> str:
-    """Standard input, in a file of the shared folder or of this machine: it is read twice."""
-    import tempfile
-
-    f = tempfile.NamedTemporaryFile("w", suffix=".json", delete=False)
-    f.write(sys.stdin.read())
-    f.close()
-    return f"file://{f.name}"
+    """Standard input as a file, as it is read twice: in the folder that driver and executors share, or of this machine if there is no other."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise R.SourceError("spark.checkpoint.dir must name a shared folder to load standard input on a cluster")
+        base = f"file://{tempfile.mkdtemp()}"
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/stdin-{uuid.uuid4().hex}.json")
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p)
+    try:
+        while chunk := sys.stdin.read(1 << 20):
+            out.write(bytearray(chunk.encode()))
+    finally:
+        out.close()
+    return p.toString()
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -78,7 +89,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if a.sample_output:
             Path(a.sample_output).write_text("".join(s + "\n" for s in samples))
         return 0
-    o, records = options(a), R.read(spark, path)
+    o, records = options(a), R.read(spark, path).persist(StorageLevel.MEMORY_AND_DISK)  # read once for counts, levels and tables
+    try:
+        return _load(a, o, records)
+    finally:
+        records.unpersist()
+
+
+def _load(a: argparse.Namespace, o: Options, records: DataFrame) -> int:
     catalog = engine.load_snapshot(a.schema_input) if a.schema_input else engine.infer(records, o)
     if a.schema_config:
         catalog = overrides.apply_toml(catalog, Path(a.schema_config).read_text())
@@ -105,6 +123,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     rows = sum(r["total"] for r in loaded.row_counts().collect())
     bad = sum(r["count"] for r in A.ordered(summary))
     print(f"{rows} rows in {len(catalog.tables)} tables, {bad} anomalies", file=sys.stderr)
+    if bad:
+        for r in A.top_tables(loaded.anomalies()).collect():
+            print(f"  {r['table']}: {r['count']} anomalies", file=sys.stderr)
     try:
         A.check_rate(bad, rows, o.max_anomaly_rate)
     except A.TooManyAnomalies as e:

@@ -311,6 +311,13 @@ def column_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["column_collisions"] = column_collisions
+# the hash: 64-bit FNV-1a over the key's bytes, its last 28 bits in hex
+ORACLE_SQL["column_collisions"] = """
+WITH k(key, s) AS (VALUES ('a-b', 'a_b'), ('a_b', 'a_b'), ('c', 'c'), ('', 'col')),
+h AS (SELECT key, s, list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(range(1, length(key) + 1), lambda i: ord(substr(key, i, 1))::UHUGEINT)),
+  lambda a, b: (xor(a, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT) AS h FROM k)
+SELECT key, CASE WHEN count(*) OVER (PARTITION BY s) > 1 THEN s || '_' || lpad(lower(to_hex((h % 268435456::UHUGEINT)::BIGINT)), 7, '0') ELSE s END AS name FROM h
+"""
 query("guard_overflow", PARTS.replace("named_struct('id', p_partkey, 'attrs', ", "named_struct('id', p_partkey, 'brand', p_brand, 'type', p_type, 'attrs', "), "part", lambda l: l["part"].select("j2s_id", F.get_json_object("data", "$.brand").alias("brand")),
       f"SELECT {ROOT_P} AS j2s_id, p_brand AS brand FROM part", max_columns=3)
 
@@ -320,7 +327,25 @@ def _ddl(l: engine.Load) -> DataFrame:
     return l.shredder.records.sparkSession.createDataFrame(list(enumerate(lines)), "n int, line string")
 
 
-query("ddl_text", ORDERS, "orders", _ddl, None)
+def _table(name: str, columns: list[str]) -> list[str]:
+    return [f'CREATE TABLE IF NOT EXISTS "public"."{name}" (', *(f"  {c}," for c in columns), f'  CONSTRAINT "pk_{name}" PRIMARY KEY ("j2s_id")', ");"]
+
+
+def _reference(name: str, parent: str) -> list[str]:
+    alter = f'ALTER TABLE "public"."{name}" ADD CONSTRAINT "fk_{name}_parent" FOREIGN KEY ("j2s_{parent}_id") REFERENCES "public"."{parent}" ("j2s_id")'
+    return ["DO $$ BEGIN", f"  {alter};", "EXCEPTION WHEN duplicate_object THEN NULL;", "END $$;"]
+
+
+def _values(lines: list[str]) -> str:
+    return "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{x.replace(chr(39), chr(39) * 2)}')" for i, x in enumerate(lines)) + ") v(n, line)"
+
+
+BELOW = ['"j2s_id" UUID NOT NULL', '"j2s_orders_id" UUID NOT NULL', '"j2s_order" BIGINT NOT NULL']
+query("ddl_text", ORDERS, "orders", _ddl, _values([
+    *_table("orders", [BELOW[0], '"orderkey" INTEGER', '"status" VARCHAR(2)']),
+    *_table("orders_items", [*BELOW, '"partkey" INTEGER', '"price" DOUBLE PRECISION']),
+    *_table("orders_partkeys", [*BELOW, '"value" INTEGER']),
+    *_reference("orders_items", "orders"), *_reference("orders_partkeys", "orders")]))
 
 NOISY = """SELECT CAST(event_id AS STRING) doc_id, concat('{"id":', event_id, ',"img_ocr_1":"x","img_ocr_22_result":{"a":1},"my_debug_tags":["d"],"nutriments":{"fat":', event_id, '},"images":{"uploaded":{"1":1}', IF(event_id % 2 = 0, ',"front":2', ''), '}}') t FROM {events}"""
 
@@ -387,3 +412,75 @@ def stream_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["stream_load"] = stream_load
 ORACLE_SQL["stream_load"] = "SELECT event_id AS id, event_type AS type, value FROM events"
+
+
+# ---- files in, files out
+
+
+def source_ndjson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON lines in several files; ids are the lines' numbers, whichever way the files are split."""
+    path = shared(spark, "lines")
+    R.spread(frames(spark, sf_dir, EVENTS)).select(F.concat("t", F.lit("\n")).alias("value")).write.text(path)  # every second line is blank
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        a = kept(R.read(spark, path))
+        l = engine.load(a, engine.infer(a, Options(root="events")))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "40k")
+        b = R.read(spark, path).select("doc_id").distinct()
+        same = a.join(b, "doc_id", "left_semi").count() == a.count() == b.count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    return l["events"].select(long("id"), "type", F.col("value").cast("double"), F.lit(same).alias("same_ids"))
+
+
+QUERIES["source_ndjson"] = source_ndjson
+ORACLE_SQL["source_ndjson"] = "SELECT event_id AS id, event_type AS type, value, true AS same_ids FROM events"
+
+
+def source_array(large: bool) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """A JSON array in a file, as one value or split item by item."""
+        path = shared(spark, "array")
+        sql = "SELECT concat('[', array_join(transform(sort_array(collect_list(struct(n_nationkey, n_name))), x -> to_json(x)), ',\\n  '), ']') a FROM {nation}"
+        frames(spark, sf_dir, sql).write.text(path)
+        r = kept(R.read_large_array(spark, path) if large else R.read(spark, path))
+        l = engine.load(r, engine.infer(r, Options(root="nation")))
+        return l["nation"].select(long("n_nationkey"), "n_name")
+
+    return run
+
+
+for _name, _large in (("source_array", False), ("source_large_array", True)):
+    QUERIES[_name] = source_array(_large)
+    ORACLE_SQL[_name] = "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation"
+
+
+def _written(l: engine.Load) -> DataFrame:
+    spark = l.shredder.records.sparkSession
+    out = shared(spark, "tables")
+    write.write_tables(l.tables(), l.catalog, out)
+    return spark.read.parquet(f"{out}/part_attrs").select("j2s_part_id", long("size"), F.col("price").cast("double"))
+
+
+query("sink_parquet", PARTS, "part", _written, f"SELECT {ROOT_P} AS j2s_part_id, CAST(p_size AS BIGINT) AS size, p_retailprice AS price FROM part")
+COPIED = """SELECT CAST(p_partkey AS STRING) doc_id, to_json(named_struct('a', p_partkey, 'b', concat(p_brand, '\\t', p_type, '\\n\\\\'), 'c', IF(p_size % 2 = 0, p_size, NULL))) t FROM {part}"""
+query("copy_text", COPIED, "part", lambda l: write.copy_text(l["part"].select("a", "b", "c")),
+      r"""SELECT p_partkey || chr(9) || p_brand || '\t' || p_type || '\n\\' || chr(9) || CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS VARCHAR) ELSE '\N' END AS value FROM part""")
+
+
+def _anomaly_files(l: engine.Load) -> DataFrame:
+    spark = l.shredder.records.sparkSession
+    out = shared(spark, "anomalies")
+    A.write_by_table(l.anomalies(), out)
+    return spark.read.schema("`column` string, row_id string, actual_value string, actual_type string").json(f"{out}/table=events").select("column", "row_id", "actual_value", "actual_type")
+
+
+query("anomaly_files", DIRTY, "events", _anomaly_files,
+      f"SELECT 'x' AS \"column\", {uuid("'events:' || event_id")} AS row_id, value AS actual_value, why AS actual_type FROM {BAD}", _int)
+IDS = """SELECT CAST(event_id AS STRING) doc_id, concat('{"id":', event_id, ',"u":"', concat_ws('-', substr(md5(CAST(event_id AS STRING)), 1, 8), substr(md5(CAST(event_id AS STRING)), 9, 4), substr(md5(CAST(event_id AS STRING)), 13, 4),
+  substr(md5(CAST(event_id AS STRING)), 17, 4), substr(md5(CAST(event_id AS STRING)), 21, 12)), '","at":"', date_format(CAST(ts AS TIMESTAMP_NTZ), "yyyy-MM-dd HH:mm:ss"), '"}') t FROM {events}"""
+query("uuid_and_timestamp", IDS, "events", lambda l: l["events"].select(long("id"), "u", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"), F.lit(",".join(str(c.type) for c in l.catalog["events"].data)).alias("types")),
+      f"SELECT event_id AS id, {uuid('CAST(event_id AS VARCHAR)')} AS u, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, 'TIMESTAMP,INTEGER,UUID' AS types FROM events")
+WIDE = """SELECT CAST(p_partkey AS STRING) doc_id, concat('{"id":', p_partkey, ',"n":{"a', p_partkey % 7, '":', p_size, ',"b', p_partkey % 5, '":', p_partkey, '},"m":{"c', p_partkey % 7, '":"', p_brand, '","d', p_partkey % 5, '":', p_size, '}}') t FROM {part}"""
+query("pivot_or_json", WIDE, "part", lambda l: l.shredder.records.sparkSession.createDataFrame([(t.name, t.layout) for t in l.catalog], "name string, layout string"),
+      "SELECT * FROM (VALUES ('part', 'columns'), ('part_n', 'pivot'), ('part_m', 'jsonb')) v(name, layout)", wide_threshold=4, stable_threshold=0.5)
