@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 #: A word, wherever the contracts speak of words.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows of a side that may be broadcast: ids of 8 bytes, so some tens of megabytes at most.
-MAX_BROADCAST_ROWS = 1_000_000
+#: Bytes of a side that may be broadcast, by the sizes of its columns.
+MAX_BROADCAST = 32 << 20
 
 #: Texts are long: batches of rows are bounded by bytes on their way to Python, and by fewer rows where Parquet is read.
 #: The defaults (4096 rows, 64 MB) take hundreds of megabytes of each executor outside its heap.
@@ -125,14 +125,29 @@ def helpers(df: DataFrame, *names: str) -> list[str]:
     return [mark + n for n in names]
 
 
-def in_bounds(df: DataFrame, most: int = MAX_BROADCAST_ROWS) -> bool:
-    """Whether df has so few rows that it may be broadcast; looks at most+1 rows."""
+def most_rows(df: DataFrame) -> int:
+    """Rows of df that may be broadcast; digests and sketches are at most 64 bytes, and so are the names that are sent."""
+    known = {"boolean": 1, "int": 4, "bigint": 8, "double": 8}
+    return MAX_BROADCAST // (16 + sum(known.get(kind, 64) for _, kind in df.dtypes))
+
+
+def in_bounds(df: DataFrame) -> bool:
+    """Whether df is so small that it may be broadcast; looks at no more rows than that takes."""
+    most = most_rows(df)
     return df.limit(most + 1).count() <= most
 
 
-def small(df: DataFrame, most: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if its row count is within bounds, else as it is: then Spark shuffles both sides."""
-    return F.broadcast(df) if in_bounds(df, most) else df
+def small(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if its size is within bounds, else as it is: then Spark shuffles both sides."""
+    return F.broadcast(df) if in_bounds(df) else df
+
+
+def source_bytes(df: DataFrame) -> int:
+    """Bytes of the files that df reads, by the plan's statistics."""
+    leaves, size = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator(), 0
+    while leaves.hasNext():
+        size += int(str(leaves.next().stats().sizeInBytes()))
+    return size
 
 
 Batch = pa.RecordBatch

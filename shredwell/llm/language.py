@@ -119,7 +119,9 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int =
         return fit(np.zeros((0, SLOTS), np.float32), [])
     low = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(31)), F.lit(1 << 30)) / float(1 << 30)
     share = F.create_map(*[F.lit(v) for k, c in n.items() for v in (k, min(1.0, sample / c))])
-    chosen = known.filter(low < F.element_at(share, F.col(lang))).select("doc_id", lang, lowered(text).alias("_bytes"))
+    chosen = known.filter(low < F.element_at(share, F.col(lang))).select("doc_id", F.col(lang).cast("string").alias("lang"), lowered(text).alias("t"))
+    # of rows that repeat an id one is read, so there are no more than ids
+    chosen = chosen.groupBy("doc_id", "lang").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t")).alias("m")).select("doc_id", "lang", F.col("m.t").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -130,8 +132,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int =
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["doc_id", "lang", "counts"])
 
     fields = [docs.schema["doc_id"], T.StructField("lang", T.StringType()), T.StructField("counts", T.BinaryType())]
-    vectors = map_batches(chosen.withColumn(lang, F.col(lang).cast("string")), run, fields)
-    rows = sorted(((r["lang"], str(r["doc_id"]), bytes(r["counts"])) for r in vectors.limit(2 * sample * len(n)).collect()))
+    rows = sorted((r["lang"], str(r["doc_id"]), bytes(r["counts"])) for r in map_batches(chosen, run, fields).collect())
     x = np.array([np.frombuffer(c, np.float16) for _, _, c in rows], np.float32).reshape(-1, SLOTS)
     return fit(x, [z for z, _, _ in rows])
 

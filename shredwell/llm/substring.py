@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, gram_hashes, helpers, in_bounds, map_batches, mix64, stored, table, text_bytes, text_of, without, word_hashes, word_spans
+from .common import chunks, gram_hashes, helpers, in_bounds, map_batches, mix64, source_bytes, stored, table, text_bytes, text_of, without, word_hashes, word_spans
 
 WINDOW = 20
 RUNS = 11
@@ -86,16 +86,22 @@ class Stretches:
         return mix64((self.sums[first + length] - self.sums[first]) * self.back[first] + np.asarray(length).astype(np.uint64))
 
 
-#: Leading bits of an anchor name its blob; five bytes more are counted.
-BLOB_BITS, KEPT_BITS = 12, 52
+#: Leading bits of an anchor name its blob; LOW_BITS more are counted. A blob's share of BLOB_INPUT bytes of documents is sorted in memory.
+LOW_BITS, LEAST_BITS = 40, 12
+BLOB_INPUT = 1 << 30
 HELD = 2_000_000
 
 
-def _blobs(anchors: np.ndarray) -> pa.RecordBatch:
+def blob_bits(source: int) -> int:
+    """So many that a blob's anchors come from about BLOB_INPUT bytes of source at most."""
+    return min(24, max(LEAST_BITS, (source // BLOB_INPUT).bit_length()))
+
+
+def _blobs(anchors: np.ndarray, bits: int) -> pa.RecordBatch:
     """Blobs of the anchors by their leading bits; what is there often is there twice."""
-    a = np.sort(anchors >> np.uint64(64 - KEPT_BITS))
+    a = np.sort(anchors >> np.uint64(64 - bits - LOW_BITS))
     a = np.concatenate([a[:-2][a[2:] != a[:-2]], a[-2:]]) if len(a) > 2 else a
-    bucket = (a >> np.uint64(KEPT_BITS - BLOB_BITS)).astype(np.int32)
+    bucket = (a >> np.uint64(LOW_BITS)).astype(np.int32)
     low = a.view(np.uint8).reshape(-1, 8)[:, :5].copy()
     first = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1]) if len(a) else np.zeros(0, np.int64)
     offsets = np.append(first, len(a)).astype(np.int32) * 5
@@ -106,6 +112,8 @@ def _blobs(anchors: np.ndarray) -> pa.RecordBatch:
 def repeated_anchors(df: DataFrame, window: int, text: str) -> DataFrame:
     """The leading bits of anchors that occur more than once, in the place they have in the anchor."""
 
+    bits = blob_bits(source_bytes(df))
+
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for b in batches:
@@ -113,27 +121,37 @@ def repeated_anchors(df: DataFrame, window: int, text: str) -> DataFrame:
             for i, j in chunks(at, CHUNK):
                 held.append(Stretches(raw[at[i] : at[j]], at[i : j + 1] - at[i], window).anchor)
                 if sum(map(len, held)) > HELD:
-                    yield _blobs(np.concatenate(held))
+                    yield _blobs(np.concatenate(held), bits)
                     held = []
         if held:
-            yield _blobs(np.concatenate(held))
+            yield _blobs(np.concatenate(held), bits)
+
+    def repeated(parts: list[np.ndarray], bucket: int) -> pa.RecordBatch:
+        low = np.concatenate(parts)
+        n = len(low) // 5
+        a = np.zeros((n, 8), np.uint8)
+        a[:, :5] = low.reshape(n, 5)
+        a = np.sort(a.reshape(-1).view(np.uint64))
+        a = np.unique(a[1:][a[1:] == a[:-1]]) | np.uint64(bucket) << np.uint64(LOW_BITS)
+        return pa.RecordBatch.from_arrays([pa.array((a << np.uint64(64 - bits - LOW_BITS)).view(np.int64))], ["anchor"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
+        parts, now = [], -1  # of one bucket at a time: they come in order
         for b in batches:
             raw, at = text_bytes(b.column(1))
-            n = len(raw) // 5
-            a = np.zeros((n, 8), np.uint8)
-            a[:, :5] = raw.reshape(n, 5)
-            bucket = np.repeat(b.column(0).to_numpy(zero_copy_only=False).astype(np.uint64), np.diff(at) // 5)
-            parts.append(a.reshape(-1).view(np.uint64) | bucket << np.uint64(KEPT_BITS - BLOB_BITS))
+            buckets = b.column(0).to_numpy(zero_copy_only=False)
+            first = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]])) if len(buckets) else np.zeros(0, np.int64)
+            for i, j in zip(first.tolist(), [*first[1:].tolist(), len(buckets)], strict=True) if len(first) else ():
+                if buckets[i] != now and parts:
+                    yield repeated(parts, now)
+                    parts = []
+                now = int(buckets[i])
+                parts.append(raw[at[i] : at[j]].copy())
         if parts:
-            a = np.sort(np.concatenate(parts))
-            a = np.unique(a[1:][a[1:] == a[:-1]]) << np.uint64(64 - KEPT_BITS)
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64))], ["anchor"])
+            yield repeated(parts, now)
 
     blobs = map_batches(df.select(text_of(text).alias("text")), collect, [T.StructField("bucket", T.IntegerType()), T.StructField("blob", T.BinaryType())])
-    return map_batches(blobs.repartition("bucket"), count, [T.StructField("anchor", T.LongType())])
+    return map_batches(blobs.repartition("bucket").sortWithinPartitions("bucket"), count, [T.StructField("anchor", T.LongType())])
 
 
 def filter_of(repeated: DataFrame, most: int = FILTER_BITS) -> np.ndarray:
