@@ -7,7 +7,7 @@ node of more than SMALL sets branches again, each set into two children by furth
 exhaustively on sketches (4 bits of each token). In a large node sets are compared with a pivot: those that come
 near it hang on it, and the ones that aren't surely alike branch on. What passes a sketch is a candidate; candidates
 only decide which documents meet: within a connected group of candidates all sets are compared exactly, by counting
-common shingles in an inverted index, so links are never guessed. Groups of more than BLOCK sets are cut into
+common shingles in an inverted index, so links are never guessed. Groups that weigh more than 2 * BLOCK are cut into
 blocks that share some pivots; the blocks' outcomes are joined, and whatever hasn't joined its group's largest part is
 compared with every block. So no task holds a whole large group and no pair is compared for nothing twice.
 
@@ -39,7 +39,8 @@ TREES = 16
 LEVELS = 2
 SMALL = 64
 DEEPEST = 8
-BLOCK = 500
+#: Weight of a block; a set weighs one for every UNIT shingles begun, so that long texts make small blocks.
+BLOCK, UNIT = 500, 2048
 #: Equal tokens of two sketches, of 64: what similarity 0.8 doesn't fall below, and what a third set does not that is alike one of two such.
 NEAR, FAR = 34, 12
 CHUNK = 1 << 20
@@ -321,11 +322,13 @@ def resolved(members: DataFrame, n: int, similarity: float) -> DataFrame:
 
 def exact_components(docs: DataFrame, reps: DataFrame, groups: DataFrame, n: int, similarity: float) -> DataFrame:
     """(v, component) of the true links within candidate groups (v, component)."""
-    sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
-    groups = stored(groups.join(small(sizes), "component").select(F.col("v").alias("rep"), F.col("component").alias("grp"), "size"), "groups")
-    wanted = small(groups.join(reps.select("rep", "digest"), "rep"))
+    weights = reps.groupBy("rep").agg(F.sum("weight").alias("weight"))
+    groups = stored(groups.select(F.col("v").alias("rep"), F.col("component").alias("grp")).join(weights, "rep"), "members")
+    sizes = groups.groupBy("grp").agg(F.sum("weight").alias("size"))
+    groups = stored(groups.join(small(sizes), "grp").select("rep", "grp", "size", "weight"), "groups")
+    wanted = small(groups.drop("weight").join(reps.select("rep", "digest"), "rep"))
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), text_of().alias("text")).join(wanted, "rep")
-    total = groups.count()
+    total = groups.agg(F.sum("weight")).first()[0] or 0
     buckets = max(1, total // BLOCK)
     block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / BLOCK)).cast("long")
     part = F.when(F.col("size") <= 2 * BLOCK, F.concat_ws(":", "grp")).otherwise(F.concat_ws(":", "grp", block))
@@ -344,13 +347,13 @@ def exact_components(docs: DataFrame, reps: DataFrame, groups: DataFrame, n: int
     if not some:
         return result
     # what hasn't joined the largest part of its large group is compared with all blocks
-    labelled = giants.join(result, giants["rep"] == result["v"], "left").select("rep", "grp", "size", F.coalesce("component", "rep").alias("label"))
+    labelled = giants.join(result, giants["rep"] == result["v"], "left").select("rep", "grp", "size", "weight", F.coalesce("component", "rep").alias("label"))
     labelled = stored(labelled, "labelled")
     main = labelled.groupBy("grp", "label").count().groupBy("grp").agg(F.max(F.struct("count", "label")).alias("m")).select("grp", F.col("m.label").alias("main"))
-    rest = stored(labelled.join(small(main), "grp").filter(F.col("label") != F.col("main")).select("rep", "grp", "size", "label"), "rest")
+    rest = stored(labelled.join(small(main), "grp").filter(F.col("label") != F.col("main")).select("rep", "grp", "size", "weight", "label"), "rest")
     if rest.isEmpty():
         return result
-    rests = rest.groupBy("grp").agg(F.count("*").alias("rests"))
+    rests = rest.groupBy("grp").agg(F.sum("weight").alias("rests"))
     lots = F.ceil(F.col("rests") / BLOCK).cast("long")
     cell = F.concat_ws(":", "grp", "block", "lot")
     others = texts.join(small(labelled.select("rep", "label")), "rep").join(small(rests), "grp").withColumn("block", block)
@@ -366,9 +369,9 @@ def groups(df: DataFrame, n: int = 5, similarity: float = 0.8, trees: int = TREE
     """doc_id, n_shingles, component_id (smallest id reachable), kept, for each row of df (ids are integers)."""
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = stored(signatures(docs, n), "signed")
-    sets = signed.filter("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"))
+    sets = signed.filter("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"), F.first(F.expr(f"1 + n_shingles div {UNIT}")).alias("weight"))
     # a doc_id of several rows may stand for several sets: they meet as one vertex
-    reps = stored(sets.select("rep", "digest", "tokens"), "reps")
+    reps = stored(sets.select("rep", "digest", "tokens", "weight"), "reps")
     near = candidates(reps, trees)
     found = stored(exact_components(docs, reps, components(near), n, similarity), "components")
     moved = found.filter("v <> component")

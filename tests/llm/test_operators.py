@@ -332,6 +332,7 @@ def test_near(spark, empty, monkeypatch):
     want = brute_near(rows, 2)
     monkeypatch.setattr(near, "SMALL", 8)
     monkeypatch.setattr(near, "BLOCK", 16)
+    monkeypatch.setattr(near, "UNIT", 60)  # the longer sets weigh two
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near.groups(d, n=2).collect()}
     assert got == want
     assert near.dedup(d, n=2).count() == len({c for _, c in want.values()})
