@@ -4,12 +4,16 @@ A document's set is that of its n-word shingles (A-Z lower-cased), or its whole
 Equal sets are one set. Each set gets minwise tokens: for each of 64 hash functions the least hash of its shingles.
 In each of `trees` independent trees a set walks down the path that its own minwise tokens choose: two levels first; a
 node of more than SMALL sets branches again, each set into two children by further tokens. Small nodes are compared
-exhaustively on sketches (4 bits of each token). In a large node sets are compared with a pivot: those that come
-near it hang on it, and the ones that aren't surely alike branch on. What passes a sketch is a candidate; candidates
-only decide which documents meet: within a connected group of candidates all sets are compared exactly, by counting
-common shingles in an inverted index, so links are never guessed. Groups that weigh more than 2 * BLOCK are cut into
-blocks that share some pivots; the blocks' outcomes are joined, and whatever hasn't joined its group's largest part is
-compared with every block. So no task holds a whole large group and no pair is compared for nothing twice.
+exhaustively on sketches (4 bits of each token) and on sizes, which differ by a fifth at most if similarity is 0.8. In a
+large node sets are compared with a pivot: those that are surely alike hang on it and leave, and so that none loses
+them, whatever passes a sketch with one that left hangs on it, too (equal tokens with the pivot are then FAR at least);
+the others branch on. What passes a sketch is a candidate; candidates only decide which documents meet: within a
+connected group of candidates all sets are compared exactly, by counting common shingles in an inverted index, so links
+are never guessed. Shared lines of short texts chain candidates of similarity 0.5 into groups that grow faster than the
+input. Groups that weigh more than 2 * BLOCK are therefore taken apart: what hangs on the same pivots is a group, the
+other candidates are compared pair by pair. Groups that still weigh as much are cut into blocks that share some pivots;
+the blocks' outcomes are joined, and whatever hasn't joined its group's largest part is compared with every block. So no
+task holds a whole large group and no pair is compared for nothing twice.
 
 Two sets with similarity 0.8 take the same two-level path in a tree with chance 0.64, so one in 1e7 such pairs misses
 all 16 trees; a sketch misses fewer.
@@ -31,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, give_back, gram_hashes, helpers, map_batches, mix64, small, stored, table, text_bytes, text_of, word_hashes, word_spans
+from .common import chunks, give_back, gram_hashes, helpers, in_bounds, map_batches, mix64, small, stored, table, text_bytes, text_of, word_hashes, word_spans
 from .graph import components
 
 TOKENS = 64
@@ -41,8 +45,10 @@ SMALL = 64
 DEEPEST = 8
 #: Weight of a block; a set weighs one for every UNIT shingles begun, so that long texts make small blocks.
 BLOCK, UNIT = 500, 2048
-#: Equal tokens of two sketches, of 64: what similarity 0.8 doesn't fall below, and what a third set does not that is alike one of two such.
-NEAR, FAR = 34, 12
+#: Equal tokens of two sketches, of 64: what similarity 0.8 doesn't fall below, what sets that hang on a pivot have with it, and
+#: what any set has with the pivot that is NEAR one of those: at most 64 - NEAR of their HANG tokens differ.
+NEAR, HANG = 34, 46
+FAR = NEAR + HANG - TOKENS
 CHUNK = 1 << 20
 
 _rng = np.random.RandomState(20)
@@ -111,14 +117,14 @@ def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((x & 15) == 0).sum(-1) + ((x & 240) == 0).sum(-1)
 
 
-#: hung: the pivot further up on which the set hangs, or -1; sets that hang on the same are joined already.
-_NODE = [T.StructField("node", T.LongType()), T.StructField("rep", T.LongType()), T.StructField("sketch", T.BinaryType()), T.StructField("hung", T.LongType())]
+#: n: the set's size.
+_NODE = [T.StructField("node", T.LongType()), T.StructField("rep", T.LongType()), T.StructField("sketch", T.BinaryType()), T.StructField("n", T.LongType())]
 
 
-def _rows(reps: pa.Array, tokens: np.ndarray, nodes: list[np.ndarray], hung: pa.Array) -> Iterator[pa.RecordBatch]:
+def _rows(reps: pa.Array, tokens: np.ndarray, nodes: list[np.ndarray], n: pa.Array) -> Iterator[pa.RecordBatch]:
     s = pa.array([r.tobytes() for r in sketch(tokens)], pa.binary())
     for node in nodes:
-        yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), reps, s, hung], [f.name for f in _NODE])
+        yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), reps, s, n], [f.name for f in _NODE])
 
 
 def planted(reps: DataFrame, trees: int) -> DataFrame:
@@ -133,9 +139,9 @@ def planted(reps: DataFrame, trees: int) -> DataFrame:
                 for level in range(LEVELS):
                     node = mix64(node * np.uint64(0x9E3779B97F4A7C15) + t[:, (LEVELS * k + level) % TOKENS].astype(np.uint64))
                 nodes.append(node)
-            yield from _rows(b.column(0), t, nodes, pa.array(np.full(len(t), -1)))
+            yield from _rows(b.column(0), t, nodes, b.column(2))
 
-    return map_batches(reps.select("rep", "tokens"), run, _NODE)
+    return map_batches(reps.select("rep", "tokens", "n"), run, _NODE)
 
 
 def branched(rows: DataFrame, reps: DataFrame) -> DataFrame:
@@ -152,10 +158,11 @@ def branched(rows: DataFrame, reps: DataFrame) -> DataFrame:
                 children.append(mix64(node * np.uint64(0x9E3779B97F4A7C15) + token))
             yield from _rows(b.column(1), t, children, b.column(3))
 
-    return map_batches(rows.join(reps, "rep").select("node", "rep", "tokens", "hung"), run, _NODE)
+    return map_batches(rows.join(reps, "rep").select("node", "rep", "tokens", "n"), run, _NODE)
 
 
-_EDGE = [T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]
+#: star: a set and the pivot on which it hangs; else sets that pass the sketches.
+_EDGE = [T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("star", T.BooleanType())]
 
 
 class Sets:
@@ -179,84 +186,83 @@ class Sets:
         return True
 
 
-def compared(rows: DataFrame) -> DataFrame:
-    """Edges that join what passes the sketches in each of the small nodes."""
+def _sizes_fit(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
 
-    def edges(rep: np.ndarray, s: np.ndarray, hung: np.ndarray) -> list[tuple[int, int]]:
-        if hung[0] >= 0 and (hung == hung[0]).all():
-            return []
-        x = s[:, None, :] ^ s[None, :, :]
-        near = np.argwhere(np.triu(((x & 15) == 0).sum(2) + ((x & 240) == 0).sum(2) >= NEAR, 1))
-        own = Sets(len(rep))
-        first: dict[int, int] = {}
-        for i, h in enumerate(hung.tolist()):
-            if h >= 0:
-                own.join(first.setdefault(h, i), i)
-        return [(rep[i], rep[j]) for i, j in near.tolist() if own.join(i, j)]
+
+def compared(rows: DataFrame, percent: int) -> DataFrame:
+    """All pairs in each of the small nodes that pass sizes and sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, rep, s, hung = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, TOKENS // 2), np.uint8), np.zeros(0, np.int64)
-        seen: set[tuple[int, int]] = set()
-
-        def done(n: int) -> Iterator[pa.RecordBatch]:
-            edge = np.flatnonzero(np.diff(node[:n])) + 1
-            first, last = np.concatenate([[0], edge]), np.concatenate([edge, [n]])
-            size = last - first
-            two = first[size == 2]
-            two = two[(alike(s[two], s[two + 1]) >= NEAR) & ((hung[two] < 0) | (hung[two] != hung[two + 1]))]
-            out = list(zip(rep[two].tolist(), rep[two + 1].tolist(), strict=True))
-            for a, z in zip(first[size > 2].tolist(), last[size > 2].tolist(), strict=True):
-                out += edges(rep[a:z].tolist(), s[a:z], hung[a:z])
-            new = {(min(e), max(e)) for e in out} - seen
-            if len(seen) > 200_000:
-                seen.clear()
-            seen.update(new)
-            if new:
-                yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in new], pa.int64()), pa.array([e[1] for e in new], pa.int64())], ["a", "b"])
+        node, rep, s, size = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, TOKENS // 2), np.uint8), np.zeros(0, np.int64)
+
+        def done(end: int) -> Iterator[pa.RecordBatch]:
+            edge = np.flatnonzero(np.diff(node[:end])) + 1
+            first, last = np.concatenate([[0], edge]), np.concatenate([edge, [end]])
+            count = last - first
+            two = first[count == 2]
+            two = two[(alike(s[two], s[two + 1]) >= NEAR) & _sizes_fit(size[two], size[two + 1], percent)]
+            left, right = [rep[two]], [rep[two + 1]]
+            for a, z in zip(first[count > 2].tolist(), last[count > 2].tolist(), strict=True):
+                i, j = np.nonzero(np.triu(_sizes_fit(size[a:z, None], size[None, a:z], percent), 1))
+                passed = alike(s[a + i], s[a + j]) >= NEAR
+                left.append(rep[a + i[passed]])
+                right.append(rep[a + j[passed]])
+            x, y = np.concatenate(left), np.concatenate(right)
+            new = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1)[x != y], axis=0)
+            if len(new):
+                yield pa.RecordBatch.from_arrays([pa.array(new[:, 0]), pa.array(new[:, 1]), pa.array(np.zeros(len(new), bool))], [f.name for f in _EDGE])
 
         for b in batches:
             node = np.concatenate([node, b.column(0).to_numpy(zero_copy_only=False)])
             rep = np.concatenate([rep, b.column(1).to_numpy(zero_copy_only=False)])
             s = np.concatenate([s, _matrix(b.column(2), TOKENS // 2, np.uint8)])
-            hung = np.concatenate([hung, b.column(3).to_numpy(zero_copy_only=False)])
+            size = np.concatenate([size, b.column(3).to_numpy(zero_copy_only=False)])
             if len(node):
                 n = int(np.searchsorted(node, node[-1]))  # the last node may go on in the next batch
                 if n:
                     yield from done(n)
-                    node, rep, s, hung = node[n:], rep[n:], s[n:], hung[n:]
+                    node, rep, s, size = node[n:], rep[n:], s[n:], size[n:]
         if len(node):
             yield from done(len(node))
 
-    return map_batches(rows.repartition("node").sortWithinPartitions("node").select("node", "rep", "sketch", "hung"), run, _EDGE)
+    return map_batches(rows.repartition("node").sortWithinPartitions("node").select("node", "rep", "sketch", "n"), run, _EDGE)
 
 
-def candidates(reps: DataFrame, trees: int) -> DataFrame:
-    """Edges (a, b) between sets that met in a node and pass the sketches, or chains of them."""
-    rows, out = planted(reps, trees), []
+def candidates(reps: DataFrame, trees: int, similarity: float) -> DataFrame:
+    """Edges (a, b, star) between sets that met in a node and pass the sketches, and between sets and the pivots that they hang on."""
+    rows, out, percent = planted(reps, trees), [], round(similarity * 100)
     for level in range(LEVELS, DEEPEST + 1):
         sizes = rows.groupBy("node").count()
         large = stored(sizes.filter(F.col("count") > SMALL).select("node"), "large")
         some = not large.isEmpty()
         # nodes of one set take no part; they are most of them
-        out.append(stored(compared(rows.join(small(large), "node", "left_anti") if some else rows).distinct(), "met"))
+        out.append(stored(compared(rows.join(small(large), "node", "left_anti") if some else rows, percent).distinct(), "met"))
         if not some:
             break
         rows = rows.join(small(large), "node", "left_semi")
-        pivot = rows.groupBy("node").agg(F.min(F.struct(F.xxhash64("rep", "node").alias("h"), "rep", "sketch", "hung")).alias("p"))
-        pivot = stored(pivot.select("node", F.col("p.rep").alias("pivot"), F.col("p.sketch").alias("ps"), F.when(F.col("p.hung") < 0, F.col("p.rep")).otherwise(F.col("p.hung")).alias("ph")), "pivots")
-        fields = [*_NODE[:2], T.StructField("pivot", T.LongType()), T.StructField("alike", T.IntegerType()), _NODE[3], T.StructField("ph", T.LongType())]
+        pivot = rows.groupBy("node").agg(F.min(F.struct(F.xxhash64("rep", "node").alias("h"), "rep", "sketch", "n")).alias("p"))
+        pivot = stored(pivot.select("node", F.col("p.rep").alias("pivot"), F.col("p.sketch").alias("ps"), F.col("p.n").alias("pn")), "pivots")
+        fields = [*_NODE[:2], T.StructField("pivot", T.LongType()), T.StructField("alike", T.IntegerType()), _NODE[3], T.StructField("fits", T.BooleanType())]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 n = alike(_matrix(b.column(2), TOKENS // 2, np.uint8), _matrix(b.column(4), TOKENS // 2, np.uint8))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(n, pa.int32()), b.column(5), b.column(6)], [f.name for f in fields])
-
-        held = stored(map_batches(rows.join(small(pivot), "node").select("node", "rep", "sketch", "pivot", "ps", "hung", "ph"), run, fields), "held")
-        out.append(held.filter((F.col("alike") >= FAR) & (F.col("rep") != F.col("pivot")) & (F.col("hung") != F.col("ph"))).select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
+                fits = _sizes_fit(b.column(5).to_numpy(zero_copy_only=False), b.column(6).to_numpy(zero_copy_only=False), percent)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(n, pa.int32()), b.column(5), pa.array(fits)], [f.name for f in fields])
+
+        held = stored(map_batches(rows.join(small(pivot), "node").select("node", "rep", "sketch", "pivot", "ps", "n", "pn"), run, fields), "held")
+        apart, hangs = F.col("rep") != F.col("pivot"), F.col("fits") & (F.col("alike") >= HANG)
+        pair = [F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")]
+        out.append(held.filter(apart & F.col("fits") & (F.col("alike") >= NEAR)).select(*pair, F.lit(False).alias("star")))
+        # a pivot that goes alone is compared with all; what it takes with it may be like sets that aren't like the pivot
+        taken = held.filter(hangs).groupBy("node").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("taken")).filter("taken > 1").drop("taken")
+        kin = held.join(small(taken), "node").filter(apart & (F.col("alike") >= FAR) & (100 * F.col("n") >= percent * F.col("low")) & (percent * F.col("n") <= 100 * F.col("high")))
+        out.append(stored(kin.select(*pair, F.lit(True).alias("star")).distinct(), "kin"))
         if level < DEEPEST:
-            rows = stored(branched(held.filter(F.col("alike") < NEAR).select("node", "rep", F.when((F.col("hung") < 0) & (F.col("alike") >= FAR), F.col("ph")).otherwise(F.col("hung")).alias("hung")), reps), "branched")
+            rows = stored(branched(held.filter(~hangs).select("node", "rep"), reps), "branched")
         else:  # too deep to branch: such sets stay with their pivot, and the exact comparison tells them apart
-            out.append(held.filter(F.col("rep") != F.col("pivot")).select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
+            out.append(held.filter(apart).select(*pair, F.lit(True).alias("star")))
     edges = out[0]
     for x in out[1:]:
         edges = edges.unionByName(x)
@@ -320,14 +326,54 @@ def resolved(members: DataFrame, n: int, similarity: float) -> DataFrame:
     return members.groupBy("bucket").applyInPandas(run, "a long, b long")
 
 
-def exact_components(docs: DataFrame, reps: DataFrame, groups: DataFrame, n: int, similarity: float) -> DataFrame:
-    """(v, component) of the true links within candidate groups (v, component)."""
-    weights = reps.groupBy("rep").agg(F.sum("weight").alias("weight"))
-    groups = stored(groups.select(F.col("v").alias("rep"), F.col("component").alias("grp")).join(weights, "rep"), "members")
+def weighed(groups: DataFrame, weights: DataFrame) -> DataFrame:
+    """(rep, grp, size, weight) of members (rep, grp); size: the group's weight."""
+    groups = stored(groups.join(weights, "rep"), "members")
     sizes = groups.groupBy("grp").agg(F.sum("weight").alias("size"))
-    groups = stored(groups.join(small(sizes), "grp").select("rep", "grp", "size", "weight"), "groups")
-    wanted = small(groups.drop("weight").join(reps.select("rep", "digest"), "rep"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), text_of().alias("text")).join(wanted, "rep")
+    return stored(groups.join(small(sizes), "grp").select("rep", "grp", "size", "weight"), "groups")
+
+
+def with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """`wanted` with the text of each rep; only texts that are wanted move, as long as their ids are few enough to be sent."""
+    texts, ids = docs.select(F.col("doc_id").cast("long").alias("rep"), text_of().alias("text")), wanted.select("rep").distinct()
+    if not in_bounds(wanted):
+        return texts.join(small(ids), "rep", "left_semi").join(wanted, "rep")
+    return texts.join(F.broadcast(wanted), "rep")
+
+
+def exact_components(docs: DataFrame, reps: DataFrame, near: DataFrame, n: int, similarity: float) -> DataFrame:
+    """(v, component) of the true links among candidates (a, b, star)."""
+    weights = reps.groupBy("rep").agg(F.sum("weight").alias("weight"))
+    groups = weighed(components(near).select(F.col("v").alias("rep"), F.col("component").alias("grp")), weights)
+    large = stored(groups.filter(F.col("size") > 2 * BLOCK).select("rep"), "chained")
+    if large.isEmpty():
+        return linked(docs, reps, groups, n, similarity)
+    chained = stored(near.join(small(large.withColumnRenamed("rep", "a")), "a", "left_semi").distinct(), "chained")
+    stars = components(chained.filter("star")).select(F.col("v").alias("rep"), F.col("component").alias("grp"))
+    groups = weighed(groups.filter(F.col("size") <= 2 * BLOCK).select("rep", "grp").unionByName(stars), weights)
+    result = linked(docs, reps, groups, n, similarity)
+    again = paired(docs, reps, weights, chained.filter("not star").select("a", "b"), result, n, similarity)
+    return components(result.filter("v <> component").select(F.col("v").alias("a"), F.col("component").alias("b")).unionByName(again))
+
+
+def paired(docs: DataFrame, reps: DataFrame, weights: DataFrame, pairs: DataFrame, known: DataFrame, n: int, similarity: float) -> DataFrame:
+    """Edges of the true links among pairs (a, b) that aren't in one component of `known`."""
+    by = small(known.filter("v <> component"))
+    for x in ("a", "b"):
+        pairs = pairs.join(by, F.col(x) == F.col("v"), "left").withColumn(f"l{x}", F.coalesce("component", x)).drop("v", "component")
+    pairs = stored(pairs.filter("la <> lb").join(weights.withColumnRenamed("rep", "b"), "b"), "pairs")
+    lots = pairs.groupBy("a").agg(F.ceil(F.sum("weight") / BLOCK).cast("long").alias("lots"))
+    pairs = pairs.join(small(lots), "a").withColumn("part", F.concat_ws(":", "a", F.pmod(F.xxhash64("b"), "lots")))
+    asked = pairs.select(F.col("a").alias("rep"), F.col("la").alias("label"), "part", F.lit(True).alias("only")).distinct()
+    wanted = pairs.select(F.col("b").alias("rep"), F.col("lb").alias("label"), "part", F.lit(False).alias("only")).unionByName(asked)
+    wanted = stored(wanted.join(reps.select("rep", "digest"), "rep"), "asked")
+    buckets = max(1, wanted.join(weights, "rep").agg(F.sum("weight")).first()[0] or 0) // BLOCK + 1
+    return resolved(with_texts(docs, wanted).withColumn("bucket", F.pmod(F.xxhash64("part"), F.lit(buckets))), n, similarity)
+
+
+def linked(docs: DataFrame, reps: DataFrame, groups: DataFrame, n: int, similarity: float) -> DataFrame:
+    """(v, component) of the true links within candidate groups (rep, grp, size, weight)."""
+    texts = with_texts(docs, groups.drop("weight").join(reps.select("rep", "digest"), "rep"))
     total = groups.agg(F.sum("weight")).first()[0] or 0
     buckets = max(1, total // BLOCK)
     block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / BLOCK)).cast("long")
@@ -369,11 +415,11 @@ def groups(df: DataFrame, n: int = 5, similarity: float = 0.8, trees: int = TREE
     """doc_id, n_shingles, component_id (smallest id reachable), kept, for each row of df (ids are integers)."""
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = stored(signatures(docs, n), "signed")
-    sets = signed.filter("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"), F.first(F.expr(f"1 + n_shingles div {UNIT}")).alias("weight"))
+    sets = signed.filter("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"), F.first(F.expr(f"1 + n_shingles div {UNIT}")).alias("weight"), F.first("n_shingles").alias("n"))
     # a doc_id of several rows may stand for several sets: they meet as one vertex
-    reps = stored(sets.select("rep", "digest", "tokens", "weight"), "reps")
-    near = candidates(reps, trees)
-    found = stored(exact_components(docs, reps, components(near), n, similarity), "components")
+    reps = stored(sets.select("rep", "digest", "tokens", "weight", "n"), "reps")
+    near = candidates(reps, trees, similarity)
+    found = stored(exact_components(docs, reps, near, n, similarity), "components")
     moved = found.filter("v <> component")
     by = reps.select("digest", "rep").join(small(moved), F.col("rep") == F.col("v"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = signed.drop("tokens").join(by, "digest", "left")

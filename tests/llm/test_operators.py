@@ -338,6 +338,19 @@ def test_near(spark, empty, monkeypatch):
     assert near.dedup(d, n=2).count() == len({c for _, c in want.values()})
 
 
+def test_near_shared_lines(spark, monkeypatch):
+    # a line that short texts share makes them somewhat alike: their candidates chain, the links don't
+    rng = np.random.RandomState(11)
+    line = " ".join(f"s{k}" for k in range(13))
+    rows = [(i, line + " " + " ".join(f"w{k}" for k in rng.randint(0, 10**6, rng.randint(16, 24)))) for i in range(480)]
+    rows += [(1000 + i, t + " end") for i, t in rows[:96]]
+    monkeypatch.setattr(near, "SMALL", 8)
+    monkeypatch.setattr(near, "BLOCK", 16)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near.groups(d, n=2).collect()}
+    assert got == brute_near(rows, 2) and got[1000][1] == 0
+
+
 def test_near_awkward(docs, empty):
     got = near.groups(docs, n=2).collect()
     assert len(got) == len(AWKWARD)
