@@ -1,21 +1,54 @@
-"""Connected components of a graph whose edges are a DataFrame; nothing is collected."""
+"""Connected components of a graph whose edges are a DataFrame; nothing is collected by the driver."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import in_bounds, map_batches, stored
+
+
+def least_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vertices of the edges (a, b), and the smallest vertex that each reaches."""
+    v, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b, up = at[: len(a)], at[len(a) :], np.arange(len(v))
+    while len(a):
+        np.minimum.at(up, np.maximum(a, b), np.minimum(a, b))  # roots hook on smaller roots
+        while not np.array_equal(above := up[up], up):
+            up = above
+        a, b = up[a], up[b]
+        a, b = a[a != b], b[a != b]
+    return v, v[up]
+
+
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    fields = [T.StructField("v", T.LongType()), T.StructField("component", T.LongType())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches]
+        if got:
+            v, component = least_reachable(*(np.concatenate(x) for x in zip(*got, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(component)], [f.name for f in fields])
 
-from .common import stored
+    return map_batches(edges.coalesce(1), run, fields)
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(v, component), the smallest vertex that is reachable, from edges (a, b); no vertex may be null.
 
-    In each round every vertex hooks on its least neighbour, paths are halved until they end at a root, and the
+    Edges that are few enough to be broadcast are joined in one task. Otherwise in each round every vertex hooks on its least neighbour, paths are halved until they end at a root, and the
     graph shrinks to its roots; edges within a tree go. At least half of the vertices go in each round. Minima merge
     within tasks before they move, so a vertex of very many edges is no hot key there. It fails rather than stop early.
     """
-    left = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).filter("a <> b").distinct()
+    edges = stored(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b"), "edges")
+    if in_bounds(edges):
+        return stored(_in_one_task(edges), "components")
+    left = edges.union(edges.select(F.col("b"), F.col("a"))).distinct()
     left, found = stored(left, "edges"), None
     for _ in range(rounds):
         up = stored(left.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("n")).select(F.col("a").alias("v"), "n"), "hooks")

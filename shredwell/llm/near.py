@@ -11,7 +11,7 @@ the others branch on. What passes a sketch is a candidate; candidates only decid
 connected group of candidates all sets are compared exactly, by counting common shingles in an inverted index, so links
 are never guessed. Shared lines of short texts chain candidates of similarity 0.5 into groups that grow faster than the
 input. Groups that weigh more than 2 * BLOCK are therefore taken apart: what hangs on the same pivots is a group, the
-other candidates are compared pair by pair. Groups that still weigh as much are cut into blocks that share some pivots;
+other candidates are compared in cells of two blocks each. Groups that still weigh as much are cut into blocks that share some pivots;
 the blocks' outcomes are joined, and whatever hasn't joined its group's largest part is compared with every block. So no
 task holds a whole large group and no pair is compared for nothing twice.
 
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -113,8 +114,10 @@ def sketch(tokens: np.ndarray) -> np.ndarray:
 
 def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Equal 4-bit tokens of sketches."""
-    x = a ^ b
-    return ((x & 15) == 0).sum(-1) + ((x & 240) == 0).sum(-1)
+    x = (a ^ b).view(np.uint64)
+    x |= x >> np.uint64(2)
+    x |= x >> np.uint64(1)  # the lowest bit of four is set if any is
+    return TOKENS - np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(-1, dtype=np.int64)
 
 
 #: n: the set's size.
@@ -229,44 +232,53 @@ def compared(rows: DataFrame, percent: int) -> DataFrame:
     return map_batches(rows.repartition("node").sortWithinPartitions("node").select("node", "rep", "sketch", "n"), run, _EDGE)
 
 
+def against_pivots(rows: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
+    """Rows of nodes that have a pivot, with their equal tokens with it and whether sizes fit."""
+    fields = [*_NODE[:2], T.StructField("pivot", T.LongType()), T.StructField("alike", T.IntegerType()), _NODE[3], T.StructField("fits", T.BooleanType())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = alike(_matrix(b.column(2), TOKENS // 2, np.uint8), _matrix(b.column(4), TOKENS // 2, np.uint8))
+            fits = _sizes_fit(b.column(5).to_numpy(zero_copy_only=False), b.column(6).to_numpy(zero_copy_only=False), percent)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(n, pa.int32()), b.column(5), pa.array(fits)], [f.name for f in fields])
+
+    return map_batches(rows.join(small(pivots), "node").select("node", "rep", "sketch", "pivot", "ps", "n", "pn"), run, fields)
+
+
 def candidates(reps: DataFrame, trees: int, similarity: float) -> DataFrame:
-    """Edges (a, b, star) between sets that met in a node and pass the sketches, and between sets and the pivots that they hang on."""
-    rows, out, percent = planted(reps, trees), [], round(similarity * 100)
+    """Edges (a, b, star) between sets that met in a node and pass the sketches, and between sets and the pivots that they hang on.
+
+    Small nodes of all levels are compared in one pass at the end, and so is what hangs on pivots: a level only finds its large
+    nodes and their pivots and branches.
+    """
+    rows, percent = planted(reps, trees), round(similarity * 100)
+    large = stored(rows.groupBy("node").count().filter(F.col("count") > SMALL).select("node"), "large")
+    if large.isEmpty():
+        return stored(compared(rows, percent).distinct(), "near")
+    # nodes of one set take no part; they are most of them
+    alone, levels = rows.join(small(large), "node", "left_anti"), []
+    rows = stored(rows.join(small(large), "node", "left_semi"), "large")
+    apart, hangs = F.col("rep") != F.col("pivot"), F.col("fits") & (F.col("alike") >= HANG)
     for level in range(LEVELS, DEEPEST + 1):
-        sizes = rows.groupBy("node").count()
-        large = stored(sizes.filter(F.col("count") > SMALL).select("node"), "large")
-        some = not large.isEmpty()
-        # nodes of one set take no part; they are most of them
-        out.append(stored(compared(rows.join(small(large), "node", "left_anti") if some else rows, percent).distinct(), "met"))
-        if not some:
+        pivot = rows.groupBy("node").agg(F.count("*").alias("count"), F.min(F.struct(F.xxhash64("rep", "node").alias("h"), "rep", "sketch", "n")).alias("p"))
+        pivot = stored(pivot.filter(F.col("count") > SMALL).select("node", F.col("p.rep").alias("pivot"), F.col("p.sketch").alias("ps"), F.col("p.n").alias("pn")), "pivots")
+        alone = alone.unionByName(rows.join(small(pivot.select("node")), "node", "left_anti")) if levels else alone
+        if pivot.isEmpty():
             break
-        rows = rows.join(small(large), "node", "left_semi")
-        pivot = rows.groupBy("node").agg(F.min(F.struct(F.xxhash64("rep", "node").alias("h"), "rep", "sketch", "n")).alias("p"))
-        pivot = stored(pivot.select("node", F.col("p.rep").alias("pivot"), F.col("p.sketch").alias("ps"), F.col("p.n").alias("pn")), "pivots")
-        fields = [*_NODE[:2], T.StructField("pivot", T.LongType()), T.StructField("alike", T.IntegerType()), _NODE[3], T.StructField("fits", T.BooleanType())]
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                n = alike(_matrix(b.column(2), TOKENS // 2, np.uint8), _matrix(b.column(4), TOKENS // 2, np.uint8))
-                fits = _sizes_fit(b.column(5).to_numpy(zero_copy_only=False), b.column(6).to_numpy(zero_copy_only=False), percent)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(n, pa.int32()), b.column(5), pa.array(fits)], [f.name for f in fields])
-
-        held = stored(map_batches(rows.join(small(pivot), "node").select("node", "rep", "sketch", "pivot", "ps", "n", "pn"), run, fields), "held")
-        apart, hangs = F.col("rep") != F.col("pivot"), F.col("fits") & (F.col("alike") >= HANG)
-        pair = [F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")]
-        out.append(held.filter(apart & F.col("fits") & (F.col("alike") >= NEAR)).select(*pair, F.lit(False).alias("star")))
-        # a pivot that goes alone is compared with all; what it takes with it may be like sets that aren't like the pivot
-        taken = held.filter(hangs).groupBy("node").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("taken")).filter("taken > 1").drop("taken")
-        kin = held.join(small(taken), "node").filter(apart & (F.col("alike") >= FAR) & (100 * F.col("n") >= percent * F.col("low")) & (percent * F.col("n") <= 100 * F.col("high")))
-        out.append(stored(kin.select(*pair, F.lit(True).alias("star")).distinct(), "kin"))
+        levels.append(stored(against_pivots(rows, pivot, percent), "held"))
         if level < DEEPEST:
-            rows = stored(branched(held.filter(~hangs).select("node", "rep"), reps), "branched")
-        else:  # too deep to branch: such sets stay with their pivot, and the exact comparison tells them apart
-            out.append(held.filter(apart).select(*pair, F.lit(True).alias("star")))
-    edges = out[0]
-    for x in out[1:]:
-        edges = edges.unionByName(x)
-    return edges
+            rows = stored(branched(levels[-1].filter(~hangs).select("node", "rep"), reps), "branched")
+    held = reduce(DataFrame.unionByName, levels)
+    pair = [F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")]
+    edges = compared(alone, percent).unionByName(held.filter(apart & F.col("fits") & (F.col("alike") >= NEAR)).select(*pair, F.lit(False).alias("star")))
+    # a pivot that goes alone is compared with all; what it takes with it may be like sets that aren't like the pivot
+    taken = stored(held.filter(hangs).groupBy("node").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("taken")).filter("taken > 1").drop("taken"), "taken")
+    edges = edges.unionByName(held.filter(apart & hangs).select(*pair, F.lit(True).alias("star")))
+    kin = held.filter(~hangs).join(small(taken), "node").filter(apart & (F.col("alike") >= FAR) & (100 * F.col("n") >= percent * F.col("low")) & (percent * F.col("n") <= 100 * F.col("high")))
+    edges = edges.unionByName(kin.select(*pair, F.lit(True).alias("star")))
+    if len(levels) > DEEPEST - LEVELS:  # too deep to branch: such sets stay with their pivot, and the exact comparison tells them apart
+        edges = edges.unionByName(levels[-1].filter(apart).select(*pair, F.lit(True).alias("star")))
+    return stored(edges.distinct(), "near")
 
 
 def links(sets: list[np.ndarray], similarity: float, own: Sets, only: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -343,29 +355,31 @@ def with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def exact_components(docs: DataFrame, reps: DataFrame, near: DataFrame, n: int, similarity: float) -> DataFrame:
     """(v, component) of the true links among candidates (a, b, star)."""
-    weights = reps.groupBy("rep").agg(F.sum("weight").alias("weight"))
+    weights = stored(reps.groupBy("rep").agg(F.sum("weight").alias("weight")), "weights")
     groups = weighed(components(near).select(F.col("v").alias("rep"), F.col("component").alias("grp")), weights)
-    large = stored(groups.filter(F.col("size") > 2 * BLOCK).select("rep"), "chained")
+    large = stored(groups.filter(F.col("size") > 2 * BLOCK).select("rep", "grp", "size"), "chained")
     if large.isEmpty():
         return linked(docs, reps, groups, n, similarity)
-    chained = stored(near.join(small(large.withColumnRenamed("rep", "a")), "a", "left_semi").distinct(), "chained")
+    chained = stored(near.join(small(large.withColumnRenamed("rep", "a")), "a"), "chained")
     stars = components(chained.filter("star")).select(F.col("v").alias("rep"), F.col("component").alias("grp"))
     groups = weighed(groups.filter(F.col("size") <= 2 * BLOCK).select("rep", "grp").unionByName(stars), weights)
     result = linked(docs, reps, groups, n, similarity)
-    again = paired(docs, reps, weights, chained.filter("not star").select("a", "b"), result, n, similarity)
+    again = paired(docs, reps, weights, chained.filter("not star").drop("star"), result, n, similarity)
     return components(result.filter("v <> component").select(F.col("v").alias("a"), F.col("component").alias("b")).unionByName(again))
 
 
 def paired(docs: DataFrame, reps: DataFrame, weights: DataFrame, pairs: DataFrame, known: DataFrame, n: int, similarity: float) -> DataFrame:
-    """Edges of the true links among pairs (a, b) that aren't in one component of `known`."""
+    """Edges of the true links among pairs (a, b, grp, size) that aren't in one component of `known`.
+
+    Pairs meet in cells, by the blocks of their group that a and b are in, so a text moves once for a cell and not for each pair.
+    """
     by = small(known.filter("v <> component"))
     for x in ("a", "b"):
         pairs = pairs.join(by, F.col(x) == F.col("v"), "left").withColumn(f"l{x}", F.coalesce("component", x)).drop("v", "component")
-    pairs = stored(pairs.filter("la <> lb").join(weights.withColumnRenamed("rep", "b"), "b"), "pairs")
-    lots = pairs.groupBy("a").agg(F.ceil(F.sum("weight") / BLOCK).cast("long").alias("lots"))
-    pairs = pairs.join(small(lots), "a").withColumn("part", F.concat_ws(":", "a", F.pmod(F.xxhash64("b"), "lots")))
-    asked = pairs.select(F.col("a").alias("rep"), F.col("la").alias("label"), "part", F.lit(True).alias("only")).distinct()
-    wanted = pairs.select(F.col("b").alias("rep"), F.col("lb").alias("label"), "part", F.lit(False).alias("only")).unionByName(asked)
+    pairs = stored(pairs.filter("la <> lb"), "pairs")
+    block = [F.pmod(F.xxhash64(x), F.ceil(F.col("size") / BLOCK)).cast("long") for x in ("a", "b")]
+    sides = [pairs.select(F.col(x).alias("rep"), F.col(f"l{x}").alias("label"), F.concat_ws(":", "grp", *block).alias("part"), F.lit(x == "a").alias("only")) for x in ("a", "b")]
+    wanted = sides[0].unionByName(sides[1]).groupBy("rep", "label", "part").agg(F.max("only").alias("only"))
     wanted = stored(wanted.join(reps.select("rep", "digest"), "rep"), "asked")
     buckets = max(1, wanted.join(weights, "rep").agg(F.sum("weight")).first()[0] or 0) // BLOCK + 1
     return resolved(with_texts(docs, wanted).withColumn("bucket", F.pmod(F.xxhash64("part"), F.lit(buckets))), n, similarity)

@@ -14,7 +14,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from shredwell.llm import chat, exact, graph, language, media, mixing, near, packing, quality, substring, tokens
+from shredwell.llm import chat, common, exact, graph, language, media, mixing, near, packing, quality, substring, tokens
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"w{i % 977}" for i in range(30_000))
@@ -351,6 +351,26 @@ def test_near_shared_lines(spark, monkeypatch):
     assert got == brute_near(rows, 2) and got[1000][1] == 0
 
 
+def test_near_levels(spark, monkeypatch):
+    # a level of the trees writes its pivots, what it compares with them and what branches; all else is written once
+    rng = np.random.RandomState(5)
+    base = [f"b{k}" for k in range(60)]
+    rows = []
+    for i in range(400):
+        w = list(base)
+        for k in rng.choice(60, rng.randint(2, 16), replace=False):
+            w[k] = f"x{rng.randint(10**6)}"
+        rows.append((i, " ".join(w)))
+    names, keep = [], near.stored
+    monkeypatch.setattr(near, "SMALL", 8)
+    monkeypatch.setattr(near, "stored", lambda df, name: names.append(name) or keep(df, name))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near.groups(d, n=2).collect()}
+    assert got == brute_near(rows, 2) and len({c for _, c in got.values()}) > 1
+    deep = collections.Counter(names)
+    assert deep["pivots"] > 3 and deep["near"] == 1 and set(names) & {"met", "kin"} == set()
+
+
 def test_near_awkward(docs, empty):
     got = near.groups(docs, n=2).collect()
     assert len(got) == len(AWKWARD)
@@ -367,6 +387,18 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(41)) and got[300] == 100 and got[1199] == 1000
 
 
+def test_components_either_way(spark, monkeypatch):
+    # a graph that may be broadcast takes one task, a larger one rounds; both say the same
+    rng = np.random.RandomState(2)
+    pairs = rng.permutation(400)[rng.randint(0, 400, (300, 2))].tolist()
+    d, names, keep = spark.createDataFrame(pairs, "a long, b long"), [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df, name: names.append(name) or keep(df, name))
+    one = {(r["v"], r["component"]) for r in graph.components(d).collect()}
+    assert names == ["edges", "components"]
+    monkeypatch.setattr(common, "MAX_BROADCAST", 0)
+    assert one == {(r["v"], r["component"]) for r in graph.components(d).collect()} and "hooks" in names
+
+
 def brute_substring(rows, window=20):
     seen, out = set(), {}
     for i, t in sorted((i, t or "") for i, t in rows):
