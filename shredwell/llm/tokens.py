@@ -31,6 +31,10 @@ MARK = "▁"
 MODEL = "piece_bpe_32k.model"
 #: Entries in each of a worker's memories (pieces, prefixes, token pairs), at most.
 CACHE = 500_000
+#: Code points at the end of a prefix by which tokens that may end it are found.
+TAIL = 3
+#: The score of what isn't a token.
+NEVER = float("-inf")
 
 
 class PrefixCounter:
@@ -47,29 +51,39 @@ class PrefixCounter:
         #: tokens that text can give, by number; 0 stands for a code point that is spelt in bytes and never merges
         self.vocab = {p: i for i, p in enumerate((p for p in pieces if self.merged(p) == [p]), 1)}
         self.names = ["", *self.vocab]
+        #: lengths, longest first, of what may be the last token of a text, by the text's last TAIL code points
+        ends: dict[str, set[int]] = {}
+        for token in self.vocab:
+            if len(token) >= TAIL:
+                ends.setdefault(token[-TAIL:], set()).add(len(token))
+        self.short = tuple(range(TAIL - 1, 0, -1))
+        self.lengths = {tail: (*sorted(got, reverse=True), *self.short) for tail, got in ends.items()}
         self.pairs: dict[int, bool] = {}
         self.states: dict[str, tuple[int, int, bytes]] = {}
         self.cache = _Pieces(self)
 
     def merged(self, text: str) -> list[str]:
         """The tokens of a short piece, by the merges of the vocabulary: best score first, then leftmost."""
-        out, score = list(text), self.score
-        while True:
-            best, at = None, -1
-            for i in range(len(out) - 1):
-                s = score.get(out[i] + out[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if best is None:
-                return out
+        out, score = list(text), self.score.get
+        scores = [score(x + y, NEVER) for x, y in zip(out, out[1:], strict=False)]
+        while scores and (best := max(scores)) > NEVER:
+            at = scores.index(best)
             out[at : at + 2] = [out[at] + out[at + 1]]
+            del scores[at]
+            if at:
+                scores[at - 1] = score(out[at - 1] + out[at], NEVER)
+            if at < len(scores):
+                scores[at] = score(out[at] + out[at + 1], NEVER)
+        return out
 
     def joins(self, key: int) -> bool:
         """Whether two tokens (numbers a << 17 | b) next to each other stay the two tokens they are."""
         if len(self.pairs) >= CACHE:
             self.pairs.clear()
         a, b = key >> 17, key & 0x1FFFF
-        got = self.pairs[key] = not a or not b or self.merged(self.names[a] + self.names[b]) == [self.names[a], self.names[b]]
+        left, right = self.names[a], self.names[b]
+        # two tokens that make a token don't stay
+        got = self.pairs[key] = not a or not b or (left + right not in self.score and self.merged(left + right) == [left, right])
         return got
 
     def state(self, piece: str) -> tuple[int, int, bytes]:
@@ -84,9 +98,12 @@ class PrefixCounter:
         while done and piece[:done] not in states:
             done -= 1
         before, steps = (states[piece[:done]][0], states[piece[:done]][2]) if done else (0, b"")
-        number, pairs, most = self.vocab.get, self.pairs.get, self.most
+        number, pairs, lengths, short = self.vocab.get, self.pairs.get, self.lengths.get, self.short
         for p in range(done + 1, n + 1):
-            for q in range(p - most if p > most else 0, p):
+            for k in lengths(piece[p - TAIL : p], short) if p >= TAIL else short:
+                q = p - k
+                if q < 0:
+                    continue
                 tok = number(piece[q:p])
                 if tok is None:
                     if p - q > 1:

@@ -474,6 +474,26 @@ def test_mixing(spark, docs, empty):
     assert len(taken) == 400 and sum(taken) == 400
 
 
+def test_tokens_lookups():
+    # unknown words are most of the work: few tokens are tried for each prefix
+    class Asked(dict):
+        n = 0
+
+        def get(self, *a):
+            Asked.n += 1
+            return super().get(*a)
+
+    path = P.path("piece_bpe_32k.model")
+    count, sp = tokens.PrefixCounter(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    count.vocab = Asked(count.vocab)
+    rng = np.random.RandomState(6)
+    text = " ".join("".join(rng.choice(list("aeinorstlé"), rng.randint(6, 20))) for _ in range(300))
+    steps = count(text)
+    for p in [*range(1, 60), len(text)]:
+        assert tokens.count_at(steps, p) == len(sp.encode(text[:p]))
+    assert Asked.n < 3 * len(text)
+
+
 def test_tokens(docs, empty):
     sp = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
     got = collections.Counter((r["doc_id"], r["n_tokens"]) for r in tokens.prefix_table(docs).collect())
