@@ -7,8 +7,10 @@ node of more than SMALL sets branches again, each set into two children by furth
 exhaustively on sketches (4 bits of each token) and on sizes, which differ by a fifth at most if similarity is 0.8. In a
 large node sets are compared with a pivot: those that are surely alike hang on it and leave, and so that none loses
 them, whatever passes a sketch with one that left hangs on it, too (equal tokens with the pivot are then FAR at least);
-the others branch on. What passes a sketch is a candidate; candidates only decide which documents meet: within a
-connected group of candidates all sets are compared exactly, by counting common shingles in an inverted index, so links
+the others branch on. What hangs together at the first level is a kin group: its sets are compared exactly at the end, so
+from then on only pairs across kin groups count. A node without any goes, one with few is small however many sets it has,
+so a large group of near copies doesn't branch again and again. What passes a sketch is a candidate; candidates only decide
+which documents meet: within a connected group of candidates all sets are compared exactly, by counting common shingles in an inverted index, so links
 are never guessed. Shared lines of short texts chain candidates of similarity 0.5 into groups that grow faster than the
 input. Groups that weigh more than 2 * BLOCK are therefore taken apart: what hangs on the same pivots is a group, the
 other candidates are compared in cells of two blocks each. Groups that still weigh as much are cut into blocks that share some pivots;
@@ -193,24 +195,42 @@ def _sizes_fit(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
     return 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
 
 
+#: Pairs whose sketches are held at a time.
+PAIRS = 1 << 17
+
+
+def _across(grp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of places with different numbers in the sorted grp, at most about PAIRS at a time (a place's pairs stay together)."""
+    k = len(grp)
+    begin = np.searchsorted(grp, grp, "right")  # a place is paired with all after its own kin
+    count = k - begin
+    for a, z in chunks(np.concatenate([[0], np.cumsum(count)]), PAIRS):
+        c = count[a:z]
+        yield np.repeat(np.arange(a, z), c), np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c) + np.repeat(begin[a:z], c)
+
+
 def compared(rows: DataFrame, percent: int) -> DataFrame:
-    """All pairs in each of the small nodes that pass sizes and sketches."""
+    """All pairs across kin groups in each of the small nodes that pass sizes and sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, rep, s, size = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, TOKENS // 2), np.uint8), np.zeros(0, np.int64)
+        node, rep, s, size, grp = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, TOKENS // 2), np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
         def done(end: int) -> Iterator[pa.RecordBatch]:
             edge = np.flatnonzero(np.diff(node[:end])) + 1
             first, last = np.concatenate([[0], edge]), np.concatenate([edge, [end]])
             count = last - first
             two = first[count == 2]
-            two = two[(alike(s[two], s[two + 1]) >= NEAR) & _sizes_fit(size[two], size[two + 1], percent)]
+            two = two[(grp[two] != grp[two + 1]) & (alike(s[two], s[two + 1]) >= NEAR) & _sizes_fit(size[two], size[two + 1], percent)]
             left, right = [rep[two]], [rep[two + 1]]
             for a, z in zip(first[count > 2].tolist(), last[count > 2].tolist(), strict=True):
-                i, j = np.nonzero(np.triu(_sizes_fit(size[a:z, None], size[None, a:z], percent), 1))
-                passed = alike(s[a + i], s[a + j]) >= NEAR
-                left.append(rep[a + i[passed]])
-                right.append(rep[a + j[passed]])
+                order = a + np.argsort(grp[a:z], kind="stable")
+                for i, j in _across(grp[order]):
+                    i, j = order[i], order[j]
+                    fits = _sizes_fit(size[i], size[j], percent)
+                    i, j = i[fits], j[fits]
+                    passed = alike(s[i], s[j]) >= NEAR
+                    left.append(rep[i[passed]])
+                    right.append(rep[j[passed]])
             x, y = np.concatenate(left), np.concatenate(right)
             new = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1)[x != y], axis=0)
             if len(new):
@@ -221,15 +241,16 @@ def compared(rows: DataFrame, percent: int) -> DataFrame:
             rep = np.concatenate([rep, b.column(1).to_numpy(zero_copy_only=False)])
             s = np.concatenate([s, _matrix(b.column(2), TOKENS // 2, np.uint8)])
             size = np.concatenate([size, b.column(3).to_numpy(zero_copy_only=False)])
+            grp = np.concatenate([grp, b.column(4).to_numpy(zero_copy_only=False)])
             if len(node):
                 n = int(np.searchsorted(node, node[-1]))  # the last node may go on in the next batch
                 if n:
                     yield from done(n)
-                    node, rep, s, size = node[n:], rep[n:], s[n:], size[n:]
+                    node, rep, s, size, grp = node[n:], rep[n:], s[n:], size[n:], grp[n:]
         if len(node):
             yield from done(len(node))
 
-    return map_batches(rows.repartition("node").sortWithinPartitions("node").select("node", "rep", "sketch", "n"), run, _EDGE)
+    return map_batches(rows.repartition("node").sortWithinPartitions("node").select("node", "rep", "sketch", "n", "grp"), run, _EDGE)
 
 
 def against_pivots(rows: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
@@ -245,42 +266,69 @@ def against_pivots(rows: DataFrame, pivots: DataFrame, percent: int) -> DataFram
     return map_batches(rows.join(small(pivots), "node").select("node", "rep", "sketch", "pivot", "ps", "n", "pn"), run, fields)
 
 
+def hung(held: DataFrame, percent: int) -> DataFrame:
+    """Edges between sets and the pivots on which they hang."""
+    hangs, apart = F.col("fits") & (F.col("alike") >= HANG), F.col("rep") != F.col("pivot")
+    pair = [F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"), F.lit(True).alias("star")]
+    # a pivot that goes alone is compared with all; what it takes with it may be like sets that aren't like the pivot
+    taken = stored(held.filter(hangs).groupBy("node").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("taken")).filter("taken > 1").drop("taken"), "taken")
+    kin = held.filter(~hangs).join(small(taken), "node").filter(apart & (F.col("alike") >= FAR) & (100 * F.col("n") >= percent * F.col("low")) & (percent * F.col("n") <= 100 * F.col("high")))
+    return held.filter(apart & hangs).select(*pair).unionByName(kin.select(*pair)).distinct()
+
+
 def candidates(reps: DataFrame, trees: int, similarity: float) -> DataFrame:
     """Edges (a, b, star) between sets that met in a node and pass the sketches, and between sets and the pivots that they hang on.
 
-    Small nodes of all levels are compared in one pass at the end, and so is what hangs on pivots: a level only finds its large
-    nodes and their pivots and branches.
+    Small nodes of all levels are compared in one pass at the end: a level only finds its large nodes and their pivots and branches.
+    What hangs on pivots of the first level are kin groups; pairs within one are left out from then on, as stars join them.
     """
     rows, percent = planted(reps, trees), round(similarity * 100)
     large = stored(rows.groupBy("node").count().filter(F.col("count") > SMALL).select("node"), "large")
     if large.isEmpty():
-        return stored(compared(rows, percent).distinct(), "near")
+        return stored(compared(rows.withColumn("grp", F.col("rep")), percent).distinct(), "near")
     # nodes of one set take no part; they are most of them
-    alone, levels = rows.join(small(large), "node", "left_anti"), []
-    rows = stored(rows.join(small(large), "node", "left_semi"), "large")
+    alone, levels = rows.join(small(large), "node", "left_anti").withColumn("grp", F.col("rep")), []
+    rows = stored(rows.join(small(large), "node", "left_semi").withColumn("grp", F.col("rep")), "large")
     apart, hangs = F.col("rep") != F.col("pivot"), F.col("fits") & (F.col("alike") >= HANG)
+    stars = kin = None
     for level in range(LEVELS, DEEPEST + 1):
-        pivot = rows.groupBy("node").agg(F.count("*").alias("count"), F.min(F.struct(F.xxhash64("rep", "node").alias("h"), "rep", "sketch", "n")).alias("p"))
-        pivot = stored(pivot.filter(F.col("count") > SMALL).select("node", F.col("p.rep").alias("pivot"), F.col("p.sketch").alias("ps"), F.col("p.n").alias("pn")), "pivots")
-        alone = alone.unionByName(rows.join(small(pivot.select("node")), "node", "left_anti")) if levels else alone
+        # a node is large by its pairs across kin groups, twice SMALL * SMALL / 2; one without any has nothing left to compare
+        least = F.min(F.struct(F.xxhash64("rep", "node").alias("h"), "rep", "sketch", "n"))
+        pivot = rows.groupBy("node", "grp").agg(F.count("*").alias("k"), least.alias("p")).groupBy("node").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("own"), F.min("p").alias("p"))
+        pivot = pivot.withColumn("across", F.col("k") * F.col("k") - F.col("own")).filter((F.col("k") > SMALL) & ((F.col("across") > SMALL * SMALL) | (F.col("across") == 0)))
+        pivot = stored(pivot.select("node", F.col("p.rep").alias("pivot"), F.col("p.sketch").alias("ps"), F.col("p.n").alias("pn"), "across"), "pivots")
+        alone = alone.unionByName(rows.join(small(pivot.select("node")), "node", "left_anti"))
+        pivot = pivot.filter("across > 0").drop("across")
         if pivot.isEmpty():
             break
         levels.append(stored(against_pivots(rows, pivot, percent), "held"))
+        if stars is None:
+            stars = stored(hung(levels[0], percent), "stars")
+            kin = small(components(stars).select(F.col("v").alias("rep"), F.col("component").alias("kin")))
+            alone = with_kin(alone.drop("grp"), kin)
         if level < DEEPEST:
-            rows = stored(branched(levels[-1].filter(~hangs).select("node", "rep"), reps), "branched")
+            rest = levels[-1].filter(~hangs).select("node", "rep")
+            if level == LEVELS:  # what is left of a node may be of one kin group
+                rest = with_kin(rest, kin)
+                mixed = stored(rest.groupBy("node").agg((F.min("grp") < F.max("grp")).alias("mixed")).filter("mixed").select("node"), "mixed")
+                rest = rest.join(small(mixed), "node", "left_semi").select("node", "rep")
+            rows = stored(with_kin(branched(rest, reps), kin), "branched")
+    if not levels:  # rows of one id are many, but no pairs
+        return stored(compared(alone, percent).distinct(), "near")
     held = reduce(DataFrame.unionByName, levels)
     pair = [F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")]
     edges = compared(alone, percent).unionByName(held.filter(apart & F.col("fits") & (F.col("alike") >= NEAR)).select(*pair, F.lit(False).alias("star")))
-    # a pivot that goes alone is compared with all; what it takes with it may be like sets that aren't like the pivot
-    taken = stored(held.filter(hangs).groupBy("node").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("taken")).filter("taken > 1").drop("taken"), "taken")
-    edges = edges.unionByName(held.filter(apart & hangs).select(*pair, F.lit(True).alias("star")))
-    kin = held.filter(~hangs).join(small(taken), "node").filter(apart & (F.col("alike") >= FAR) & (100 * F.col("n") >= percent * F.col("low")) & (percent * F.col("n") <= 100 * F.col("high")))
-    edges = edges.unionByName(kin.select(*pair, F.lit(True).alias("star")))
+    edges = reduce(DataFrame.unionByName, [edges, stars, *([hung(reduce(DataFrame.unionByName, levels[1:]), percent)] if levels[1:] else [])])
     if len(levels) > DEEPEST - LEVELS:  # too deep to branch: such sets stay with their pivot, and the exact comparison tells them apart
         edges = edges.unionByName(levels[-1].filter(apart).select(*pair, F.lit(True).alias("star")))
     return stored(edges.distinct(), "near")
 
 
+def with_kin(rows: DataFrame, kin: DataFrame) -> DataFrame:
+    """rows with grp, the kin group of rep; a set that has none is its own."""
+    return rows.join(kin, "rep", "left").withColumn("grp", F.coalesce("kin", "rep")).drop("kin")
+
+
 def links(sets: list[np.ndarray], similarity: float, own: Sets, only: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Joins in `own` what is similar (at least one of a pair being in `only`); returns pairs that joined something."""
     n, sizes = len(sets), np.array([len(s) for s in sets])
@@ -364,7 +412,11 @@ def exact_components(docs: DataFrame, reps: DataFrame, near: DataFrame, n: int,
     stars = components(chained.filter("star")).select(F.col("v").alias("rep"), F.col("component").alias("grp"))
     groups = weighed(groups.filter(F.col("size") <= 2 * BLOCK).select("rep", "grp").unionByName(stars), weights)
     result = linked(docs, reps, groups, n, similarity)
-    again = paired(docs, reps, weights, chained.filter("not star").drop("star"), result, n, similarity)
+    pairs = chained.filter("not star").drop("star")
+    for x in ("a", "b"):  # what stars join has been compared
+        pairs = pairs.join(small(stars.withColumnsRenamed({"rep": x, "grp": f"s{x}"})), x, "left")
+    pairs = pairs.filter(F.coalesce("sa", "a") != F.coalesce("sb", "b")).drop("sa", "sb")
+    again = paired(docs, reps, weights, pairs, result, n, similarity)
     return components(result.filter("v <> component").select(F.col("v").alias("a"), F.col("component").alias("b")).unionByName(again))
 
 

@@ -371,6 +371,48 @@ def test_near_levels(spark, monkeypatch):
     assert deep["pivots"] > 3 and deep["near"] == 1 and set(names) & {"met", "kin"} == set()
 
 
+def test_near_across():
+    # places of different kin groups meet once, however the pairs are cut
+    for grp in ([1], [4, 4, 4], [1, 1, 2, 5, 5, 5, 9]):
+        got = [(i, j) for x, y in near._across(np.array(grp)) for i, j in zip(x.tolist(), y.tolist(), strict=True)]
+        assert got == [(i, j) for i in range(len(grp)) for j in range(i + 1, len(grp)) if grp[i] != grp[j]]
+
+
+def test_near_one_large_group(spark, monkeypatch):
+    # near copies that hang together branch no more: rows grow with the group, not with its levels or pairs
+    rng = np.random.RandomState(8)
+    base = [f"b{k}" for k in range(60)]
+    rows = [(1000 + i, " ".join(f"z{k}" for k in rng.randint(0, 10**6, 30))) for i in range(40)]
+    for i in range(300):
+        w = list(base)
+        for k in rng.choice(60, rng.randint(1, 7), replace=False):
+            w[k] = f"x{rng.randint(10**6)}"
+        rows.append((i, " ".join(w)))
+    made, keep = [], near.stored
+
+    def counted(df, name):
+        out = keep(df, name)
+        if name == "branched":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(near, "SMALL", 8)
+    monkeypatch.setattr(near, "stored", counted)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near.groups(d, n=2).collect()}
+    assert got == brute_near(rows, 2)
+    assert made and sum(made) < 2 * 16 * 300
+
+
+def test_near_one_id(spark, monkeypatch):
+    # rows of one id are one vertex: a large node may have no pairs at all, or few
+    monkeypatch.setattr(near, "SMALL", 8)
+    rows = [(5, " ".join(f"b{k}" for k in range(60)) + f" x{i}") for i in range(40)]
+    for more in ([], [(9, rows[0][1] + " y"), (3, "other")]):
+        got = {(r["doc_id"], r["component_id"]) for r in near.groups(spark.createDataFrame(rows + more, "doc_id long, text string"), n=2).collect()}
+        assert got == ({(5, 5), (9, 5), (3, 3)} if more else {(5, 5)})
+
+
 def test_near_awkward(docs, empty):
     got = near.groups(docs, n=2).collect()
     assert len(got) == len(AWKWARD)
