@@ -2,8 +2,13 @@
 
 import collections
 
+import numpy as np
 import pytest
 
+from shredwell.llm import near
+
+from .test_operators import brute_near
+
 pipeline = pytest.importorskip("corpus_pipeline")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -38,6 +43,29 @@ def test_stages(spark, sf_dir):
     assert mixed and out["packing"].count() == mixed
 
 
+def test_near_stage_one_large_group(spark, monkeypatch):
+    # a large group of near copies (five-word shingles) branches no more once it hangs together
+    rng = np.random.RandomState(4)
+    base, rows, made, keep = [f"b{k}" for k in range(80)], [], [], near.stored
+    for i in range(240):
+        w = list(base)
+        for k in rng.choice(80, rng.randint(1, 4), replace=False):
+            w[k] = f"x{rng.randint(10**6)}"
+        rows.append((i, " ".join(w), "en", "s0", 1))
+
+    def counted(df, name):
+        out = keep(df, name)
+        if name == "branched":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(near, "SMALL", 8)
+    monkeypatch.setattr(near, "stored", counted)
+    got = {r["doc_id"] for r in pipeline.near_stage(spark, spark.createDataFrame(rows, SCHEMA), "").collect()}
+    assert got == {i for i, (_, c) in brute_near([r[:2] for r in rows], 5).items() if i == c}
+    assert made and sum(made) < 2 * 16 * 240
+
+
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
